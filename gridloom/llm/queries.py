@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .simhash_dedup import op1_simhash_near_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op9_exact_dedup": op9_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_exact_dedup": OP9_SQL,
+}
