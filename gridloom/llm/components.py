@@ -60,5 +60,6 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if now["n"] == 0 or now == before:
             return local
         before, last = now, local
-        above = local.select(F.col("node").alias("parent"), F.col("parent").alias("grandparent"))
+        # One grandparent is enough: a parent's own rows keep its other links. Written first, so that both sides of the join are plain exchanges.
+        above = materialise(local.groupBy(F.col("node").alias("parent")).agg(F.min("parent").alias("grandparent")), "components-up")
         held = local.join(above, "parent", "left").select("node", F.coalesce("grandparent", "parent").alias("parent"))
