@@ -43,6 +43,11 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+def compact(column: pa.Array) -> pa.Array:
+    """A column that begins its buffers: splitting a slice of a longer one goes wrong in Arrow."""
+    return column.take(pa.array(np.arange(len(column)))) if column.offset else column
+
+
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Words of a batch as (row of each word, index of each word in the vocabulary, vocabulary).
 
@@ -50,7 +55,7 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """
     import pyarrow.compute as pc
 
-    lists = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_lower(column.cast(pa.large_utf8())), ""))
+    lists = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_lower(compact(column).cast(pa.large_utf8())), ""))
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten()
     keep = pc.not_equal(pc.binary_length(flat), 0)

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .text import compact
+
 #: Words kept between batches, at most.
 KEPT_WORDS = 600_000
 #: Signs that never join what stands before them, neither as a token nor in a normal form.
@@ -54,7 +56,7 @@ class WordTokenizer:
         """All ids of a batch in one array, and where each text's begin (one more than there are texts); null is empty."""
         if len(self.at) > self.kept:
             self._clear()
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_utf8()), ""))
+        lists = pc.ascii_split_whitespace(pc.fill_null(compact(texts).cast(pa.large_utf8()), ""))
         edges = lists.offsets.to_numpy().astype(np.int64)
         edges -= edges[0]
         coded = lists.flatten().dictionary_encode()
