@@ -5,11 +5,13 @@ from __future__ import annotations
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .mixing import op7_source_mixing
 from .packing import op5_best_fit_packing
+from .quality import op6_quality_classifier
 from .simhash_dedup import op1_simhash_near_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_source_mixing": op7_source_mixing,
     "op9_exact_dedup": op9_exact_dedup,
 }
