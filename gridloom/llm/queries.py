@@ -7,15 +7,18 @@ from .mixing import op7_source_mixing
 from .packing import op5_best_fit_packing
 from .quality import op6_quality_classifier
 from .simhash_dedup import op1_simhash_near_dedup
+from .url_filter import OP8_SQL, op8_url_filter
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_source_mixing": op7_source_mixing,
+    "op8_url_filter": op8_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_url_filter": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
