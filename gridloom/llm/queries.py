@@ -6,11 +6,13 @@ from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .mixing import op7_source_mixing
 from .packing import op5_best_fit_packing
 from .quality import op6_quality_classifier
+from .secrets import op4_secret_scan
 from .simhash_dedup import op1_simhash_near_dedup
 from .url_filter import OP8_SQL, op8_url_filter
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op4_secret_scan": op4_secret_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_source_mixing": op7_source_mixing,
