@@ -8,6 +8,7 @@ from .packing import op5_best_fit_packing
 from .quality import op6_quality_classifier
 from .secrets import op4_secret_scan
 from .simhash_dedup import op1_simhash_near_dedup
+from .toxicity import op10_toxicity
 from .url_filter import OP8_SQL, op8_url_filter
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_source_mixing": op7_source_mixing,
     "op8_url_filter": op8_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
