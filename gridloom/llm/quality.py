@@ -32,7 +32,7 @@ from .text import compact, words_of
 BUCKETS = 1 << 15
 RANK = 8
 #: Labelled rows that the model is fitted from, at most.
-MAX_TRAIN = 6144
+MAX_TRAIN = 4096
 EPOCHS = 10
 BATCH = 128
 RATE = 0.08
@@ -58,9 +58,9 @@ def _byte_shares(texts: pa.Array) -> np.ndarray:
     kinds = _TABLE[np.frombuffer(b"".join(texts.to_pylist()), np.uint8)]
     ends = np.cumsum(sizes)
     out = np.zeros((len(sizes), len(_CLASSES) + 2))
-    for k in range(out.shape[1]):
-        total = np.concatenate(([0], np.cumsum(kinds == k, dtype=np.int64)))
-        out[:, k] = (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)
+    some = np.flatnonzero(sizes)
+    for k in range(out.shape[1] if len(some) else 0):
+        out[some, k] = np.add.reduceat(kinds == k, (ends - sizes)[some], dtype=np.int64) / sizes[some]
     return out
 
 
@@ -130,6 +130,15 @@ class FactorisationMachine:
         return 1 / (1 + np.exp(-np.clip(self.raw(*self.sparse(*inputs(texts, metadata, self.buckets)))[0], -30, 30)))
 
 
+def _in_slices(texts: pa.Array, metadata: np.ndarray, buckets: int, rows: int = 256) -> tuple[np.ndarray, ...]:
+    """``inputs`` of many rows with the memory of a few."""
+    parts = []
+    for k in range(0, len(texts), rows):
+        row, *rest = inputs(texts.slice(k, rows), metadata[k : k + rows], buckets)
+        parts.append((row + k, *rest))
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
 def fit(texts: pa.Array, metadata: np.ndarray, labels: np.ndarray, buckets: int = BUCKETS, rank: int = RANK, epochs: int = EPOCHS, seed: int = 7) -> FactorisationMachine:
     """A model of the labelled texts; deterministic for the same rows in the same order."""
     rng = np.random.default_rng(seed)
@@ -138,7 +147,7 @@ def fit(texts: pa.Array, metadata: np.ndarray, labels: np.ndarray, buckets: int
     model = FactorisationMachine(float(np.log(share / (1 - share))), np.zeros(width), np.zeros((width, rank)), np.zeros(width - buckets), np.ones(width - buckets))
     if len(set(labels.tolist())) < 2:
         return model
-    row, bucket, value, dense = inputs(texts, metadata, buckets)
+    row, bucket, value, dense = _in_slices(texts, metadata, buckets)
     model.mean, model.scale = dense.mean(0), np.maximum(dense.std(0), 1e-6)
     model.factors = rng.normal(0, 0.02, (width, rank))
     starts, columns, values = model.sparse(row, bucket, value, dense)
