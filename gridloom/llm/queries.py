@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .fingerprints import op2_document_fingerprints
 from .language import op3_language_id
 from .mixing import op7_source_mixing
 from .packing import op5_best_fit_packing
@@ -14,6 +15,7 @@ from .url_filter import OP8_SQL, op8_url_filter
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_document_fingerprints": op2_document_fingerprints,
     "op3_language_id": op3_language_id,
     "op4_secret_scan": op4_secret_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
