@@ -73,17 +73,20 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fingerprint long")
 
 
-def ball_masks(radius: int) -> list[int]:
+def ball_masks(radius: int, bits: int = BITS) -> list[int]:
     """What is XORed to a fingerprint for each variant within ``radius`` bits, the fingerprint itself first, as signed longs."""
     sign = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
-    return [sign(sum(1 << b for b in bits)) for r in range(radius + 1) for bits in combinations(range(BITS), r)]
+    return [sign(sum(1 << b for b in chosen)) for r in range(radius + 1) for chosen in combinations(range(bits), r)]
 
 
-def ball_links(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """``(a, b)``, a < b: verified links that connect all distinct ``fingerprint`` values at most ``radius`` bits apart."""
+def ball_links(prints: DataFrame, radius: int = 2, bits: int = BITS) -> DataFrame:
+    """``(a, b)``, a < b: verified links that connect all distinct ``fingerprint`` values at most ``radius`` bits apart.
+
+    Only the lowest ``bits`` bits vary; those above tell fingerprints of different kinds apart.
+    """
     if radius % 2:
         raise ValueError("radius must be even: each side covers half of it")
-    masks = ball_masks(radius // 2)
+    masks = ball_masks(radius // 2, bits)
     by_flip = F.array(*[F.lit(m) for m in masks])
     met = (
         prints.select("fingerprint", F.posexplode(by_flip).alias("flip", "mask"))
@@ -113,15 +116,101 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, F.col("fingerprint") == F.col("known"), "left").select("id", "fingerprint", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay when of each component the row with the smallest id does.
+# Near copies by similarity. A similarity of 0.8 in five-word shingles leaves 64-bit fingerprints of those shingles some ten bits
+# apart, and a ball of that radius can't be enumerated. So a text gets ``TABLES`` short fingerprints of its two-word shingles, which edits touch
+# less; each is met in the middle at ``RADIUS``, and whatever meets in one of them is verified by the five-word shingles.
+
+TABLES = 8
+TABLE_BITS = 32
+RADIUS = 2
+#: Five-word shingles with the smallest hashes that are kept to compare texts; of shorter texts all are.
+SKETCH = 256
+
+
+def short_fingerprints(text: bytes, words: int = 2, tables: int = TABLES) -> np.ndarray:
+    """``tables`` SimHash fingerprints of ``TABLE_BITS`` bits."""
+    hashes = np.unique(shingle_hashes(text, words))
+    out = np.empty(tables, np.int64)
+    for k in range(0, tables, 2):
+        mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
+        both = majority(mixed ^ (mixed >> np.uint64(32)))
+        out[k : k + 2] = (both & 0xFFFFFFFF, both >> 32)[: tables - k]
+    return out
+
+
+def sketch(text: bytes, words: int = 5, size: int = SKETCH) -> bytes:
+    """The ``size`` smallest different 32-bit shingle hashes, ascending."""
+    return np.unique((shingle_hashes(text, words) >> np.uint64(32)).astype("<u4"))[:size].tobytes()
+
+
+def sketch_similarity(a: bytes, b: bytes, size: int = SKETCH) -> float:
+    """Jaccard similarity: exact if both texts have at most ``size`` shingles, else estimated from the smallest of their union."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    union = np.union1d(x, y)
+    if len(x) >= size or len(y) >= size:
+        union = union[:size]
+    return float((np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True)).sum() / len(union))
+
+
+def _sketches(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = list(text_bytes(batch.column(1)))
+            prints = np.concatenate([short_fingerprints(t) for t in texts]) if texts else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * TABLES, pa.int32()), pa.array(prints, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), lists, pa.array([sketch(t, words) for t in texts], pa.binary())], names=["id", "prints", "sketch"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(id, component_id)`` for every row: components of texts whose shingles have this similarity, named by the smallest id.
+
+    Texts with the same shingles are one text here. Links are verified pairs of texts that met in a table: of those with the same short
+    fingerprint each with the smallest, and the smallest ones of fingerprints within the radius. Rows without an id count as id -1.
+    """
+    used = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(text_col).alias("text"))
+    rows = materialise(used.mapInArrow(_sketches(words), "id long, prints array<long>, sketch binary").withColumn("same", F.xxhash64("sketch", "prints")), "sketches")
+    texts = materialise(rows.groupBy("same").agg(F.min("id").alias("first_id")), "sketch-classes")
+    # One row stands for all with the same shingles: the one with the smallest id, or any of those that repeat it.
+    known = rows.select("same", "id", "prints", "sketch").join(texts.select(F.col("same").alias("of"), "first_id"), (F.col("same") == F.col("of")) & (F.col("id") == F.col("first_id")), "left_semi")
+    known = materialise(known.dropDuplicates(["same"]), "sketch-texts")
+    placed = known.select("same", F.posexplode("prints").alias("table", "print")).select("same", (F.col("print") + F.shiftleft(F.col("table").cast("long"), TABLE_BITS)).alias("fingerprint"))
+    placed = materialise(placed, "sketch-places")
+    heads = materialise(placed.groupBy("fingerprint").agg(F.min("same").alias("head")), "sketch-heads")
+    near = ball_links(heads, RADIUS, TABLE_BITS)
+    a, b = heads.select(F.col("fingerprint").alias("a"), F.col("head").alias("x")), heads.select(F.col("fingerprint").alias("b"), F.col("head").alias("y"))
+    met = near.join(a, "a").join(b, "b").select("x", "y")
+    stars = placed.join(heads, "fingerprint").select(F.col("head").alias("x"), F.col("same").alias("y"))
+    pairs = materialise(stars.unionByName(met).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "sketch-pairs")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [sketch_similarity(p, q) >= similarity for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(alike, pa.bool_()))
+
+    first, second = known.select(F.col("same").alias("x"), F.col("sketch").alias("sx")), known.select(F.col("same").alias("y"), F.col("sketch").alias("sy"))
+    links = pairs.join(first, "x").join(second, "y").select("x", "y", "sx", "sy").mapInArrow(verify, "x long, y long")
+    up = connected_components(links, "x", "y")
+    rooted = materialise(texts.join(up, F.col("same") == F.col("node"), "left").select("same", "first_id", F.coalesce("parent", "same").alias("root")), "sketch-rooted")
+    named = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "sketch-named")
+    classes = rooted.join(named, "root").select(F.col("same").alias("known"), "component_id")
+    return rows.select("id", "same").join(classes, F.col("same") == F.col("known"), "left").select("id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay when of each group of near copies the row with the smallest id does.
 
-    Rows that repeat that id in one component are one document: one of them stays. Rows without an id all stay.
+    Rows that repeat that id in one group are one document: one of them stays. Rows without an id all stay.
     """
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, radius)
-    kept = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("__kept")).distinct()
-    stays = docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
-    return stays.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    found = similar_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, similarity)
+    total = materialise(found.where(F.col("id") == F.col("component_id")).groupBy(F.col("id").alias("__kept")).agg(F.count(F.lit(1)).alias("n")), "near-kept")
+    stays = docs.join(total, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
+    if not total.where("n > 1").isEmpty():
+        stays = stays.dropDuplicates([id_col])
+    return stays.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def fingerprint_hex(column: str) -> F.Column:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from .text import compact
 
 #: Words kept between batches, at most.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 1_200_000
 #: Signs that never join what stands before them, neither as a token nor in a normal form.
 _TAIL = ".,!?;:$%&*#|)"
 
@@ -38,19 +38,41 @@ class WordTokenizer:
         self.at: dict[str, int] = {"": 0}
         self.ids, self.ends = array("I"), array("q", [0, 0])
 
-    def _parts(self, word: str) -> tuple[str, str]:
-        if "<|" in word:  # may hold a special token
-            return word, ""
-        stem = word.rstrip(_TAIL)
-        if not stem or not stem[-1].isalpha():
-            stem = word
-        return (stem.lower() if stem.isascii() else stem), word[len(stem) :]
-
     def _learn(self, words: list[str]) -> None:
+        """Stores the ids of words that aren't known, by their parts where they have two or aren't lower case."""
+        at, parted, need = self.at, [], {}
+        for word in words:
+            stem = word.rstrip(_TAIL)
+            if "<|" in word or not stem or not stem[-1].isalpha():  # may hold a special token, or has no letter before the signs
+                need[word] = None
+                continue
+            lower = stem.lower() if stem.isascii() else stem
+            if lower not in at:
+                need[lower] = None
+            if lower != word:
+                tail = word[len(stem) :]
+                parted.append((word, lower, tail))
+                if tail not in at:
+                    need[tail] = None
+        self._encode(list(need))
+        ids, ends = self.ids, self.ends
+        for word, lower, tail in parted:
+            k = at[lower]
+            ids.extend(ids[ends[k] : ends[k + 1]])
+            if tail:
+                k = at[tail]
+                ids.extend(ids[ends[k] : ends[k + 1]])
+            at[word] = len(ends) - 1
+            ends.append(len(ids))
+
+    def _encode(self, words: list[str]) -> None:
+        at, ids, ends = self.at, self.ids, self.ends
         for k in range(0, len(words), 8192):
-            for x in self.tokenizer.encode_batch_fast(words[k : k + 8192], add_special_tokens=False):
-                self.ids.extend(x.ids)
-                self.ends.append(len(self.ids))
+            part = words[k : k + 8192]
+            for word, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                ids.extend(x.ids)
+                at[word] = len(ends) - 1
+                ends.append(len(ids))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch in one array, and where each text's begin (one more than there are texts); null is empty."""
@@ -61,21 +83,15 @@ class WordTokenizer:
         edges -= edges[0]
         coded = lists.flatten().dictionary_encode()
         word = coded.indices.to_numpy(zero_copy_only=False)
-        vocabulary, at, new = coded.dictionary.to_pylist(), self.at, []
-        parts = np.empty((len(vocabulary), 2), np.int64)
-        for k, w in enumerate(vocabulary):
-            stem, tail = self._parts(w)
-            for side, x in ((0, stem), (1, tail)):
-                if (i := at.get(x)) is None:
-                    i = at[x] = len(at)
-                    new.append(x)
-                parts[k, side] = i
-        self._learn(new)
-        ids, ends = np.frombuffer(self.ids, np.uint32) if self.ids else np.empty(0, np.uint32), np.frombuffer(self.ends, np.int64)
-        # ids of each different word, then of each word of each text
-        flat, begins = _gather(ids, ends[parts.ravel()], ends[parts.ravel() + 1])
-        begins = begins[::2]
-        out, begins = _gather(flat, begins[word], begins[word + 1]) if len(word) else (np.empty(0, np.uint32), np.zeros(1, np.int64))
+        vocabulary = coded.dictionary.to_pylist()
+        known = list(map(self.at.get, vocabulary))
+        if new := [w for w, k in zip(vocabulary, known, strict=True) if k is None]:
+            self._learn(new)
+            known = list(map(self.at.get, vocabulary))
+        # Copies, as an array that is being looked at can't grow.
+        ids, ends = np.array(self.ids, np.uint32), np.array(self.ends, np.int64)
+        at = np.array(known, np.int64)[word] if len(word) else np.empty(0, np.int64)
+        out, begins = _gather(ids, ends[at], ends[at + 1])
         return out, begins[edges]
 
 
