@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import drop_table, materialise
+from .text import tidy
 
 _SCHEMA = "node long, parent long"
 
@@ -53,7 +54,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     held = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("node"), F.least(a, b).alias("parent"))
     before, last = None, None
     while True:
-        local = materialise(held.repartition("node").mapInArrow(_union_find, _SCHEMA), "components")
+        local = materialise(held.repartition("node").mapInArrow(tidy(_union_find), _SCHEMA), "components")
         if last is not None:
             drop_table(last)
         now = local.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node", "parent").cast("decimal(38,0)")).alias("h")).first()

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import materialise
-from .text import SPACES, batches_of, text_bytes
+from .text import SPACES, batches_of, text_bytes, tidy
 
 #: Distinct keys in a bucket of the index, at most, unless one prefix of 64 bits has more.
 CAPACITY = 1 << 13
@@ -180,15 +180,15 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(docs: DataFrame, keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The index over ``id, text`` as a table in the shared folder, one row for each different text."""
     starts = extendible_directory(keys, capacity)
-    heads = docs.mapInArrow(_collapse(starts), _sql(_HEADS))
+    heads = docs.mapInArrow(tidy(_collapse(starts)), _sql(_HEADS))
     owned = heads.repartition(max(1, min(len(starts), 1 << 16)), "bucket").sortWithinPartitions("bucket", "key")
-    return materialise(owned.mapInArrow(_own, _sql(_INDEX)), "hash-index")
+    return materialise(owned.mapInArrow(tidy(_own), _sql(_INDEX)), "hash-index")
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, capacity: int) -> tuple[DataFrame, bool]:
     """Each row with its entry of the index; whether whole rows repeat."""
     used = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    keys = materialise(used.mapInArrow(_keys, "id long, chars long, key long, sha binary"), "dedup-keys")
+    keys = materialise(used.mapInArrow(tidy(_keys), "id long, chars long, key long, sha binary"), "dedup-keys")
     index = build_index(used, keys, capacity).select(F.col("key").alias("at"), F.col("sha").alias("of"), "rows", "keep_chars", "keep_id", "same")
     found = keys.join(index, (F.col("key") == F.col("at")) & (F.col("sha") == F.col("of")), "left")
     best = (F.coalesce("id", F.lit(NO_ID)) == F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))

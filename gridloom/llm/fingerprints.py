@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import chunks
+from .text import tidy
 
 K = 2
 TUPLE = 2
@@ -126,7 +127,7 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(as_text(signatures(pa.array(part.column(1).to_pylist(), pa.string()))), pa.string())], names=["id", "fingerprint"])
 
     used = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return used.mapInArrow(run, "id long, fingerprint string")
+    return used.mapInArrow(tidy(run), "id long, fingerprint string")
 
 
 def with_successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,4 +192,4 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op2_document_fingerprints(spark, sf_dir: str) -> DataFrame:
-    return with_successors(spark.read.parquet(f"{sf_dir}/documents.parquet")).mapInArrow(_compare, _OUT)
+    return with_successors(spark.read.parquet(f"{sf_dir}/documents.parquet")).mapInArrow(tidy(_compare), _OUT)

@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 
 from .store import materialise
 from .tokens import WordTokenizer
+from .text import tidy
 
 LENGTH = 4096
 END_ID = 1
 BLOCK = 1 << 14
 #: Bytes of text that are encoded at a time.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 _PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = _PIECES + ", uid long, block long, sequence_id long, offset long, open boolean"
@@ -71,7 +72,7 @@ def cut(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
                     names=["id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.mapInArrow(run, _PIECES)
+    return docs.mapInArrow(tidy(run), _PIECES)
 
 
 def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +144,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     blocks = max(1, -(-left.count() // block))
     while True:
         dealt = left.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(blocks))).repartition(blocks, "block")
-        placed = materialise(dealt.sortWithinPartitions("block", F.desc("length"), "uid").mapInArrow(_pack(round_, length), _PACKED), "packed")
+        placed = materialise(dealt.sortWithinPartitions("block", F.desc("length"), "uid").mapInArrow(tidy(_pack(round_, length)), _PACKED), "packed")
         left = placed.where("open").select(*pieces.columns)
         fewer = max(1, -(-left.count() // block)) if blocks > 1 else blocks
         if fewer == blocks:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import chunks
-from .text import compact, words_of
+from .text import compact, tidy, words_of
 
 BUCKETS = 1 << 15
 RANK = 8
@@ -213,7 +213,7 @@ def with_score(docs: DataFrame, model: FactorisationMachine, text_col: str = "te
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(score)], names=[*keep, score_col])
 
     used = docs.select(*keep, F.col(text_col).alias("__text"), *(F.col(c).cast("double").alias(f"__m{k}") for k, c in enumerate(metadata)))
-    return used.mapInArrow(run, schema)
+    return used.mapInArrow(tidy(run), schema)
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

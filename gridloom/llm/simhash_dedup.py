@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .store import materialise
-from .text import text_bytes
+from .text import text_bytes, tidy
 
 SEED = 42
 BITS = 64
@@ -70,7 +70,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             prints = np.fromiter((simhash(t, words) for t in text_bytes(batch.column(1))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints.view(np.int64))], names=["id", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fingerprint long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "id long, fingerprint long")
 
 
 def ball_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -172,7 +172,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fingerprint each with the smallest, and the smallest ones of fingerprints within the radius. Rows without an id count as id -1.
     """
     used = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(text_col).alias("text"))
-    rows = materialise(used.mapInArrow(_sketches(words), "id long, prints array<long>, sketch binary").withColumn("same", F.xxhash64("sketch", "prints")), "sketches")
+    rows = materialise(used.mapInArrow(tidy(_sketches(words)), "id long, prints array<long>, sketch binary").withColumn("same", F.xxhash64("sketch", "prints")), "sketches")
     texts = materialise(rows.groupBy("same").agg(F.min("id").alias("first_id")), "sketch-classes")
     # One row stands for all with the same shingles: the one with the smallest id, or any of those that repeat it.
     known = rows.select("same", "id", "prints", "sketch").join(texts.select(F.col("same").alias("of"), "first_id"), (F.col("same") == F.col("of")) & (F.col("id") == F.col("first_id")), "left_semi")
@@ -192,7 +192,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(alike, pa.bool_()))
 
     first, second = known.select(F.col("same").alias("x"), F.col("sketch").alias("sx")), known.select(F.col("same").alias("y"), F.col("sketch").alias("sy"))
-    links = pairs.join(first, "x").join(second, "y").select("x", "y", "sx", "sy").mapInArrow(verify, "x long, y long")
+    links = pairs.join(first, "x").join(second, "y").select("x", "y", "sx", "sy").mapInArrow(tidy(verify), "x long, y long")
     up = connected_components(links, "x", "y")
     rooted = materialise(texts.join(up, F.col("same") == F.col("node"), "left").select("same", "first_id", F.coalesce("parent", "same").alias("root")), "sketch-rooted")
     named = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "sketch-named")

@@ -6,7 +6,10 @@ A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``, which is what
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -22,6 +25,21 @@ def text_bytes(column: pa.Array) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, after which the worker gives freed memory back: workers are used again, and theirs counts with their executor's."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def fold(key: int | None, parts: int) -> int:
     """crc32 of the id written as text, modulo ``parts``; a null id counts as the empty text."""
     return crc32(b"" if key is None else str(key).encode()) % parts

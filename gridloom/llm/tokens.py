@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from .text import compact
 
 #: Words kept between batches, at most.
-KEPT_WORDS = 1_200_000
+KEPT_WORDS = 400_000
 #: Signs that never join what stands before them, neither as a token nor in a normal form.
 _TAIL = ".,!?;:$%&*#|)"
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .packing import chunks
 from .quality import labelled_sample
-from .text import words_of
+from .text import tidy, words_of
 
 BUCKETS = 1 << 16
 CHAIN = 96
@@ -263,7 +263,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
                     spans[k] = [{"start": s, "end": e} for s, e in offending(texts[k].as_py(), marginal[a:b])]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(score), pa.array(spans, span)], names=[*keep, "score", "spans"])
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import shared_path, write_bytes
+from .text import tidy
 
 MAX_INDEX_BYTES = 256 << 20
 #: What a url gets that no rule fits.
@@ -149,7 +150,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
                 schema=_JUDGED,
             )
 
-    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url")).mapInArrow(run, "id long, host string, path string, rule string, verdict string")
+    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url")).mapInArrow(tidy(run), "id long, host string, path string, rule string, verdict string")
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", otherwise: str = OTHERWISE) -> DataFrame:
