@@ -6,7 +6,8 @@ distance to it is the sum, over the document's own ``TOP`` most frequent, of how
 n-grams the profile lacks. The nearest profile wins; of equals the first language by code point.
 
 Counts come from every learning text, are summed in map tasks and then by language and n-gram, and only the
-profiles (``TOP`` short strings a language) reach the driver. Each different word of a batch is cut into n-grams once.
+profiles (``TOP`` short strings a language) reach the driver. N-grams are numbers here: a slice of texts is one array of
+code points, and its n-grams are counted in array operations.
 
 Cases: a null text, or one without letters, is ``und`` with score 0; texts without a language are not
 learned from; with no profile at all every text is ``und``; of n-grams equally often the first by code point ranks first; repeated rows are predicted each; an empty table gives no
@@ -15,83 +16,86 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packing import chunks
-from .text import compact
-from .tokens import _gather
+from .text import tidy
 
 TOP = 300
-SIZES = (1, 2, 3)
 EDGE = "_"
 UNKNOWN = "und"
-#: Words, and n-grams, kept between batches, at most.
+#: Counts that a learning task holds before it sends them on.
 KEPT = 400_000
-#: Documents that are ranked at a time.
-ROWS = 128
-
-_LETTERS = re.compile(r"[^\W\d_]+")
-
-
-def grams_of(word: str) -> list[str]:
-    """The n-grams of a word's letter runs, repeats included."""
-    out = []
-    for run in _LETTERS.findall(word.lower()):
-        padded = EDGE + run + EDGE
-        out += run
-        out += [padded[i : i + n] for n in SIZES if n > 1 for i in range(len(padded) - n + 1)]
-    return out
-
-
-class GramCounter:
-    """Cuts batches into n-grams, each different word once."""
-
-    def __init__(self, kept: int = KEPT):
-        self.kept = kept
-        self._clear()
-
-    def _clear(self) -> None:
-        self.words: dict[str, int] = {}
-        self.grams: dict[str, int] = {}
-        self.ids, self.ends = array("i"), array("q", [0])
-
-    def count(self, texts: pa.Array, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(group, n-gram number, count) of the texts' n-grams, a row a group and word; numbers are those of ``grams``."""
-        if len(self.words) > self.kept or len(self.grams) > self.kept:
-            self._clear()
-        lists = pc.ascii_split_whitespace(pc.fill_null(compact(texts).cast(pa.large_utf8()), ""))
-        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        vocabulary = coded.dictionary.to_pylist()
-        for w in vocabulary:
-            if w not in self.words:
-                self.words[w] = len(self.words)
-                number = self.grams
-                self.ids.extend([number.setdefault(g, len(number)) for g in grams_of(w)])
-                self.ends.append(len(self.ids))
-        kinds = max(1, len(vocabulary))
-        pair, count = np.unique(np.repeat(group, sizes) * kinds + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-        at = np.fromiter((self.words[w] for w in vocabulary), np.int64, len(vocabulary))[pair % kinds] if len(pair) else np.empty(0, np.int64)
-        ids, ends = np.array(self.ids, np.int64), np.array(self.ends, np.int64)
-        flat, begins = _gather(ids, ends[at], ends[at + 1])
-        each = np.diff(begins)
-        return np.repeat(pair // kinds, each), flat, np.repeat(count, each)
+#: Documents that are ranked at a time, and bytes of text that are cut at a time.
+ROWS, CHUNK_BYTES = 128, 2 << 20
+#: Largest table of n-gram numbers that is looked up directly; beyond it numbers are sorted.
+DIRECT = 1 << 23
+
+
+def _distinct(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different values below ``most``, ascending, and the place of each value among them."""
+    if most > DIRECT:
+        return np.unique(values, return_inverse=True)
+    seen = np.zeros(most, bool)
+    seen[values] = True
+    used = np.flatnonzero(seen)
+    to = np.zeros(most, np.int32)
+    to[used] = np.arange(len(used), dtype=np.int32)
+    return used, to[values]
+
+
+class Grams:
+    """Every occurrence of an n-gram in some texts, as its text's ``row`` and its place in ``numbers``.
+
+    ``signs`` are the edge mark and the texts' different letters, ascending. An n-gram of signs a, b, c has the number
+    ``(a' base + b') base + c'``, with a' one more than a's place and 0 for what a shorter n-gram lacks, so that
+    numbers are in the order of the strings. ``numbers`` are the different ones, ascending.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        lowered = [(t or "").lower() + "\n" for t in texts]
+        points = np.frombuffer(("\n" + "".join(lowered)).encode("utf-32-le", "surrogatepass"), np.uint32)
+        row = np.repeat(np.arange(len(texts), dtype=np.int32), list(map(len, lowered)))
+        row = np.concatenate([np.zeros(1, np.int32), row])
+        used, place = _distinct(points, int(points.max()) + 1)
+        letter = np.fromiter((chr(c).isalpha() for c in used.tolist()), bool, len(used))
+        self.signs = EDGE + "".join(map(chr, used[letter].tolist()))
+        self.base = base = len(self.signs) + 1
+        sign = np.ones(len(used), np.int64)  # what is no letter is an edge
+        sign[letter] = np.arange(2, letter.sum() + 2)
+        a = sign[place]
+        inner = a > 1
+        one, two, three = np.flatnonzero(inner), np.flatnonzero(inner[:-1] | inner[1:]), np.flatnonzero(inner[1:-1])
+        number = np.concatenate([a[one] * (base * base), (a[two] * base + a[two + 1]) * base, (a[three] * base + a[three + 1]) * base + a[three + 2]])
+        self.row = np.concatenate([row[one], np.where(inner[two + 1], row[two + 1], row[two]), row[three + 1]])
+        self.numbers, self.place = _distinct(number, base**3)
+
+    def strings(self) -> list[str]:
+        signs, b = self.signs, self.base
+        name = lambda k: signs[k - 1] if k else ""
+        return [name(n // (b * b)) + name(n // b % b) + name(n % b) for n in self.numbers.tolist()]
+
+    def find(self, grams: list[str]) -> np.ndarray:
+        """The place of each n-gram among ``numbers``, or -1."""
+        at, b = {c: k + 1 for k, c in enumerate(self.signs)}, self.base
+        wanted = np.array([((at.get(g[0], -1) * b + (at.get(g[1], -1) if len(g) > 1 else 0)) * b + (at.get(g[2], -1) if len(g) > 2 else 0)) if all(c in at for c in g) else -1 for g in grams], np.int64)
+        if not len(self.numbers):
+            return np.full(len(grams), -1)
+        k = np.minimum(np.searchsorted(self.numbers, wanted), len(self.numbers) - 1)
+        return np.where(self.numbers[k] == wanted, k, -1)
 
 
 def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top: int = TOP) -> dict[str, list[str]]:
     """For each language its ``top`` n-grams, the most frequent first. A null language is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, held = GramCounter(), defaultdict(int)
+        held: dict[tuple[str, str], int] = defaultdict(int)
 
         def out():
             rows = list(held.items())
@@ -101,20 +105,18 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
             held.clear()
 
         for batch in batches:
-            for part in chunks(batch):
-                coded = compact(part.column(0)).dictionary_encode()
-                langs = coded.dictionary.to_pylist()
-                group, gram, n = counter.count(part.column(1), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
-                width = len(counter.grams)
-                total = np.bincount(group * width + gram, n, len(langs) * width).astype(np.int64) if len(gram) else np.empty(0, np.int64)
-                names = list(counter.grams)
+            for part in chunks(batch, CHUNK_BYTES):
+                langs, of = np.unique(np.array(part.column(0).to_pylist(), object), return_inverse=True)
+                grams = Grams(part.column(1).to_pylist())
+                width, names = len(grams.numbers), grams.strings()
+                total = np.bincount(of[grams.row] * width + grams.place, minlength=len(langs) * width) if width else np.empty(0, np.int64)
                 for k in np.flatnonzero(total).tolist():
                     held[langs[k // width], names[k % width]] += int(total[k])
             if len(held) > KEPT:
                 yield from out()
         yield from out()
 
-    counted = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, "lang string, gram string, n long")
+    counted = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "lang string, gram string, n long")
     total = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = total.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top).select("lang", "gram", "k")
@@ -129,42 +131,40 @@ class LanguageModel:
 
     def __init__(self, profiles: dict[str, list[str]], top: int = TOP):
         self.langs, self.top = sorted(profiles), top
-        self.rank = [{g: k for k, g in enumerate(profiles[lang])} for lang in self.langs]
-        self.counter = GramCounter()
+        self.profiles = [profiles[lang] for lang in self.langs]
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score (one less the distance's share of the largest possible) of each text."""
-        n, langs, scores = len(texts), [], np.zeros(len(texts))
-        row, gram, count = self.counter.count(texts, np.arange(n))
-        used, gram = np.unique(gram, return_inverse=True)
-        names = list(self.counter.grams)
-        names = [names[k] for k in used.tolist()]
-        order = np.argsort(np.array(names, object)) if names else np.empty(0, np.int64)
-        place = np.empty(len(names), np.int64)  # by code point, so that ties don't depend on the batch
-        place[order] = np.arange(len(names))
-        gram, names = place[gram], [names[k] for k in order.tolist()]
-        rank = np.array([[r.get(g, -1) for g in names] for r in self.rank], np.int64).reshape(len(self.langs), len(names))
-        edges, width = np.searchsorted(row, np.arange(0, n + ROWS, ROWS)), len(names)
-        for b in range(0, n, ROWS):
-            rows = min(ROWS, n - b)
-            a, z = edges[b // ROWS], edges[b // ROWS + 1]
-            table = np.bincount((row[a:z] - b) * width + gram[a:z], count[a:z], rows * width).reshape(rows, width) if width else np.zeros((rows, 0))
-            top = min(self.top, width)
-            # Larger counts first, then the smaller place; all distinct, so the selection is too.
-            key = table * (2.0 * width + 2) - np.arange(width)
-            best = np.argpartition(-key, top - 1, axis=1)[:, :top] if top else np.empty((rows, 0), np.int64)
-            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(key, best, 1), axis=1), 1)
-            held = np.take_along_axis(table, best, 1) > 0
-            theirs = rank[:, best]  # language, row, rank in the text
-            apart = np.where(theirs < 0, self.top, np.abs(theirs - np.arange(top)))
-            distance = np.where(held, np.minimum(apart, self.top), 0).sum(2)
-            number = held.sum(1)
-            near = distance.argmin(0) if len(self.langs) else np.zeros(rows, np.int64)
-            for k in range(rows):
-                known = number[k] > 0 and len(self.langs) > 0
-                langs.append(self.langs[near[k]] if known else UNKNOWN)
-                scores[b + k] = 1 - distance[near[k], k] / (number[k] * self.top) if known else 0.0
-        return langs, scores
+        n, top = len(texts), self.top
+        number, distance = np.zeros(n, np.int64), np.zeros((len(self.langs), n), np.int64)
+        grams = Grams(texts)
+        width = len(grams.numbers)
+        if width and self.langs:
+            rank = np.full((len(self.langs), width), -1)
+            for mine, profile in zip(rank, self.profiles, strict=True):
+                at = grams.find(profile)
+                mine[at[at >= 0]] = np.flatnonzero(at >= 0)
+            # n-grams of one length each lie in order of their texts
+            order = np.argsort(grams.row, kind="stable")
+            row, place = grams.row[order].astype(np.int64), grams.place[order]
+            edges = np.searchsorted(row, np.arange(0, n + ROWS, ROWS))
+            take = min(top, width)
+            for b in range(0, n, ROWS):
+                rows, a, z = min(ROWS, n - b), edges[b // ROWS], edges[b // ROWS + 1]
+                table = np.bincount((row[a:z] - b) * width + place[a:z], minlength=rows * width).reshape(rows, width)
+                # Larger counts first, then the smaller place: keys are all distinct, so what is selected is definite.
+                key = table * width - np.arange(width)
+                best = np.argpartition(key, width - take, axis=1)[:, width - take :]
+                best = np.take_along_axis(best, np.argsort(-np.take_along_axis(key, best, 1), axis=1), 1)
+                held = np.take_along_axis(table, best, 1) > 0
+                theirs = rank[:, best]  # language, text, rank in the text
+                apart = np.where(theirs < 0, top, np.minimum(np.abs(theirs - np.arange(take)), top))
+                distance[:, b : b + rows] = np.where(held, apart, 0).sum(2)
+                number[b : b + rows] = held.sum(1)
+        known = number > 0
+        near = distance.argmin(0) if self.langs else np.zeros(n, np.int64)
+        score = np.where(known, 1 - distance.min(0, initial=top * top) / np.maximum(number * top, 1), 0.0)
+        return [self.langs[k] if x else UNKNOWN for k, x in zip(near.tolist(), known.tolist(), strict=True)], score
 
 
 def with_language(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "text", keep: list[str] | None = None, top: int = TOP) -> DataFrame:
@@ -176,11 +176,11 @@ def with_language(docs: DataFrame, profiles: dict[str, list[str]], text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LanguageModel(shared.value, top)
         for batch in batches:
-            for part in chunks(batch, text=len(keep)):
-                langs, scores = model.predict(part.column(len(keep)))
+            for part in chunks(batch, CHUNK_BYTES, len(keep)):
+                langs, scores = model.predict(part.column(len(keep)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
