@@ -136,7 +136,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return every.join(per_source, "source_no").select("id", F.col("w").alias("size"), "source_size", "target", (F.col("whole") + F.col("one").cast("long")).alias("copies"))
+    return every.join(per_source, "source_no").select("id", F.col("w").alias("size"), "source_size", "target", F.when(F.col("w") > 0, F.col("whole") + F.col("one").cast("long")).otherwise(0).alias("copies"))
 
 
 def take_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -145,10 +145,17 @@ def take_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that share id and size are interchangeable; each of them gets a decision of its own.
     """
     mixed = mix_sources(docs, id_col, text_col, source_col).where("copies > 0")
-    per_key = mixed.groupBy(F.col("id").alias("__id"), F.col("size").alias("__size")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"), F.max("copies").alias("__most"))
+    per_key = materialise(mixed.groupBy(F.col("id").alias("__id"), F.col("size").alias("__size")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")), "mix-taken")
     tagged = docs.withColumn("__n", word_count(text_col))
     taken = tagged.join(per_key, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*docs.columns)
+    copies = F.col("__copies")
+    if not per_key.where("__rows > 1").isEmpty():  # rows that repeat share their copies
+        number = F.row_number().over(Window.partitionBy("__id", "__size").orderBy(text_col, source_col))
+        taken = taken.withColumn("__row", number)
+        every = F.count(F.lit(1)).over(Window.partitionBy("__id", "__size"))
+        copies = F.floor((F.col("__copies") + F.col("__every") - F.col("__row")) / F.col("__every"))
+        taken = taken.withColumn("__every", every)
+    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*docs.columns)
 
 
 def op7_source_mixing(spark, sf_dir: str) -> DataFrame:
