@@ -141,7 +141,7 @@ def with_successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = [k / ranges for k in range(1, ranges)]
     found = used.agg(F.min("id").alias("least"), F.percentile_approx("id", cuts or [0.5], 20 * ranges).alias("cuts")).first()
-    starts = np.array(sorted({found["least"], *(found["cuts"] if cuts else [])} - {None}) or [0], np.int64)
+    starts = np.array(sorted({found["least"], *(found["cuts"] or [] if cuts else [])} - {None}) or [0], np.int64)
     last = len(starts) - 1
 
     @F.pandas_udf("array<int>")

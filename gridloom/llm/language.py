@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .packing import chunks
 from .text import tidy
@@ -168,19 +169,20 @@ class LanguageModel:
 
 
 def with_language(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "text", keep: list[str] | None = None, top: int = TOP) -> DataFrame:
-    """``docs``, or its columns ``keep``, with ``lang_pred`` and ``score``."""
-    keep = docs.columns if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    schema = docs.select(*keep).schema.add("lang_pred", "string", False).add("score", "double", False)
+    """``docs``, or its columns ``keep``, with ``lang_pred`` and ``score``, which replace columns of those names."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)  # ``top`` short strings a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LanguageModel(shared.value, top)
         for batch in batches:
-            for part in chunks(batch, CHUNK_BYTES, len(keep)):
-                langs, scores = model.predict(part.column(len(keep)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
+            for part in chunks(batch, CHUNK_BYTES):
+                langs, scores = model.predict(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["row", "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(tidy(run), schema)
+    used = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
+    schema = StructType().add("row", used.schema["row"].dataType).add("lang_pred", "string", False).add("score", "double", False)
+    return used.mapInArrow(tidy(run), schema).select("row.*", "lang_pred", "score")
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

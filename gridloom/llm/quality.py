@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .packing import chunks
 from .text import compact, tidy, words_of
@@ -200,20 +201,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str
 
 
 def with_score(docs: DataFrame, model: FactorisationMachine, text_col: str = "text", metadata: tuple[str, ...] = ("n_chars",), score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """``docs``, or its columns ``keep``, and the score of each row."""
-    keep = docs.columns if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add(score_col, "double", False)
+    """``docs``, or its columns ``keep``, and the score of each row; a column of that name is replaced."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != score_col]
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.names.index("__text")
-            for part in chunks(batch, text=at):
-                score = shared.value.score(part.column(at), _metadata(part, [f"__m{k}" for k in range(len(metadata))]))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(score)], names=[*keep, score_col])
-
-    used = docs.select(*keep, F.col(text_col).alias("__text"), *(F.col(c).cast("double").alias(f"__m{k}") for k, c in enumerate(metadata)))
-    return used.mapInArrow(tidy(run), schema)
+            for part in chunks(batch):
+                score = shared.value.score(part.column(1), _metadata(part, [f"m{k}" for k in range(len(metadata))]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], names=["row", "score"])
+
+    # The columns that are kept travel as one, so that their names can't clash with those here.
+    used = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"), *(F.col(c).cast("double").alias(f"m{k}") for k, c in enumerate(metadata)))
+    scored = used.mapInArrow(tidy(run), StructType().add("row", used.schema["row"].dataType).add("score", "double", False))
+    return scored.select("row.*", F.col("score").alias(score_col))
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

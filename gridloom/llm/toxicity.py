@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from .packing import chunks
 from .quality import labelled_sample
@@ -244,26 +245,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs``, or its columns ``keep``, with ``score`` and ``spans`` (array of start, end)."""
-    keep = docs.columns if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """``docs``, or its columns ``keep``, with ``score`` and ``spans`` (array of start, end), which replace columns of those names."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "spans")]
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    schema = docs.select(*keep).schema.add("score", "double", False)
-    schema = schema.add("spans", docs.sparkSession.range(0).select(F.expr("cast(array() as array<struct<start: int, end: int>>)").alias("s")).schema["s"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, text=len(keep)):
-                texts = part.column(len(keep))
+            for part in chunks(batch):
+                texts = part.column(1)
                 row, marginal = shared.value.marginals(texts)
                 score = shared.value.scores(row, marginal, len(texts))
                 spans: list[list[dict[str, int]]] = [[] for _ in range(len(texts))]
                 for k in np.unique(row[marginal >= 0.5]).tolist():
                     a, b = np.searchsorted(row, [k, k + 1])
                     spans[k] = [{"start": s, "end": e} for s, e in offending(texts[k].as_py(), marginal[a:b])]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(score), pa.array(spans, span)], names=[*keep, "score", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array(spans, span)], names=["row", "score", "spans"])
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(tidy(run), schema)
+    used = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
+    of = ArrayType(StructType().add("start", "integer").add("end", "integer"))
+    schema = StructType().add("row", used.schema["row"].dataType).add("score", "double", False).add("spans", of)
+    return used.mapInArrow(tidy(run), schema).select("row.*", "score", "spans")
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
