@@ -13,7 +13,7 @@ from .operators import boost, dedup, grid, metrics, sampling, sweep, trees
 from .operators.ordering import hashed_rank, running
 from .sources import images, model_files
 from .sources.store import shared_root
-from .sources.tables import FEATURES, cells, grids, scored_labels, table
+from .sources.tables import FEATURES, cells, grids, row_key, scored_labels, table
 from .streaming import frames
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,7 +129,7 @@ def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Sampling.
 
-_KEY = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+_KEY = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT))"
 
 
 @query(f"""
@@ -418,7 +418,7 @@ SELECT row_key, CAST(CASE WHEN a2 THEN u + t7 ELSE u END AS BIGINT) AS total, a2
 def tile_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders are the tiles of their items."""
     items = table(spark, sf_dir, "lineitem")
-    tiles = items.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("row_key"), "l_orderkey", F.array(*[F.col(c).cast("float") for c in FEATURES]).alias("x"))
+    tiles = items.select(row_key().alias("row_key"), "l_orderkey", F.array(*[F.col(c).cast("float") for c in FEATURES]).alias("x"))
     binned = tiles.select("row_key", "l_orderkey", trees.binned("x", _CUTS).alias("bins"))
     return trees.staged_scores(binned, _M, "bins", ["l_orderkey"], ["row_key"])
 

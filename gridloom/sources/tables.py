@@ -30,8 +30,13 @@ def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
+def row_key() -> F.Column:
+    """A line item's key; its numbers alone repeat in places, so its price in cents is part of it."""
+    parts = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")] + [F.round(F.col("l_extendedprice") * 100)]
+    return F.concat_ws("-", *(p.cast("long").cast("string") for p in parts))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(row_key, x, y)``: line items as cells, four float features and whether the item was returned."""
     items = table(spark, sf_dir, "lineitem")
-    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
-    return items.select(key.alias("row_key"), F.array(*[F.col(c).cast("float") for c in FEATURES]).alias("x"), (F.col("l_returnflag") == "R").alias("y"))
+    return items.select(row_key().alias("row_key"), F.array(*[F.col(c).cast("float") for c in FEATURES]).alias("x"), (F.col("l_returnflag") == "R").alias("y"))
