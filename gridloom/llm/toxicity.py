@@ -1,8 +1,8 @@
 """Toxic documents and spans by a linear-chain conditional random field.
 
 Chains are sentences, at most ``CHAIN`` words each, so that very long texts are many chains of
-bounded length; every word is in one. A word's features are its hashed core, beginning and end, and the cores
-before and after it. Labels come by document, so tokens are labelled first: a word that is over-represented in toxic documents, and rare in others, is toxic where
+bounded length; every word is in one. A word's features are its hashed core and beginnings, and the cores
+before and after it. Labels come by document, so tokens are labelled first: a word whose core or beginning is over-represented in toxic documents, beyond chance, is toxic where
 it stands in a toxic document; all other tokens are clean. The field is fitted to those tags by AdaGrad on the log likelihood.
 
 With two states, forward and backward messages are single odds, and a word's marginal is the product of the two. A
@@ -37,20 +37,34 @@ RATE = 0.5
 DECAY = 1e-4
 #: Chains without a toxic token that the field is fitted from, for each one with; and at least this many.
 CLEAN_RATIO, CLEAN_LEAST = 4, 2000
-#: A word is toxic if it stands in at least so many toxic documents, and its share of toxic documents, smoothed, is this many times theirs of all.
-LEAST_DOCS, LEAST_LIFT = 3, 3.0
+#: A core or beginning is toxic if it stands in at least so many toxic documents, its share of toxic documents is this many times theirs of all,
+#: and that is no chance finding among all of them, by this margin in the logarithm.
+LEAST_DOCS, LEAST_LIFT, MARGIN = 3, 3.0, 0.0
 
 _EDGES = b".,;:!?\"'()[]{}<>|*#$%&@^~=+-_/\\"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_SLOTS = 5
+#: Lengths of the word beginnings that are features and units: inflected forms share them.
+BEGINNINGS = (5, 6, 7)
+#: Features of the word itself; two more are its core as the neighbour before and after.
+_OWN = 1 + len(BEGINNINGS)
+
+
+def core_of(word: bytes) -> str:
+    """The word without signs at its edges."""
+    return (word.strip(_EDGES) or word).decode(errors="replace").lower()
+
+
+def units_of(core: str) -> list[str]:
+    """A core and its beginnings, marked; a beginning as long as the core is left out."""
+    return ["=" + core, *(f"{n}{core[:n]}" for n in BEGINNINGS if len(core) > n)]
 
 
 def features(vocabulary: list[bytes]) -> np.ndarray:
-    """For each word the buckets of its core, beginning, end, and of its core as a neighbour before and after."""
-    out = np.empty((len(vocabulary), _SLOTS), np.int64)
+    """For each word the buckets of its core, its beginnings, and its core as a neighbour before and after."""
+    out = np.empty((len(vocabulary), _OWN + 2), np.int64)
     for k, word in enumerate(vocabulary):
-        core = word.strip(_EDGES) or word
-        out[k] = [crc32(x) % BUCKETS for x in (b"w" + core, b"b" + core[:4], b"e" + core[-4:], b"p" + core, b"n" + core)]
+        core = core_of(word)
+        out[k] = [crc32(x.encode()) % BUCKETS for x in ("=" + core, *(f"{n}{core[:n]}" for n in BEGINNINGS), "<" + core, ">" + core)]
     return out
 
 
@@ -77,9 +91,9 @@ class Field:
     def emissions(self, word: np.ndarray, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Log odds of each word by its own features and its neighbours'."""
         by_word = self.weights[buckets]
-        own = by_word[:, :3].sum(1)[word]
+        own = by_word[:, :_OWN].sum(1)[word]
         before, after = np.zeros(len(word)), np.zeros(len(word))
-        before[1:], after[:-1] = by_word[word[:-1], 3], by_word[word[1:], 4]
+        before[1:], after[:-1] = by_word[word[:-1], _OWN], by_word[word[1:], _OWN + 1]
         before[first] = 0
         after[first[1:] - 1] = 0
         return np.clip(own + before + after, -30, 30)
@@ -125,8 +139,8 @@ def fit_field(word: np.ndarray, buckets: np.ndarray, first: np.ndarray, tags: np
         forward, backward = field.messages(odds, first)
         both = forward * backward
         error = tags - both / (1 + both)
-        own = np.bincount(buckets[word, 0], error, BUCKETS) + np.bincount(buckets[word, 1], error, BUCKETS) + np.bincount(buckets[word, 2], error, BUCKETS)
-        own += np.bincount(buckets[word[follow - 1], 3], error[follow], BUCKETS) + np.bincount(buckets[word[follow], 4], error[follow - 1], BUCKETS)
+        own = sum(np.bincount(buckets[word, k], error, BUCKETS) for k in range(_OWN))
+        own += np.bincount(buckets[word[follow - 1], _OWN], error[follow], BUCKETS) + np.bincount(buckets[word[follow], _OWN + 1], error[follow - 1], BUCKETS)
         # Expected pairs: message up to the word before, the transition, and all that comes after.
         into = odds[follow] * backward[follow]
         pair = np.stack([np.ones(len(follow)) * field.transition[0, 0], into * field.transition[0, 1], forward[follow - 1] * field.transition[1, 0], forward[follow - 1] * into * field.transition[1, 1]])
@@ -172,17 +186,26 @@ def summary(row: np.ndarray, marginal: np.ndarray, rows: int) -> np.ndarray:
     return np.column_stack([np.ones(rows), np.log(most / (1 - most)), np.log1p(number)])
 
 
-def toxic_words(row: np.ndarray, word: np.ndarray, kinds: int, toxic: np.ndarray) -> np.ndarray:
-    """Which words of the vocabulary count as toxic, by documents they stand in."""
-    pair = np.unique(row * max(kinds, 1) + word)
+def toxic_units(row: np.ndarray, unit: np.ndarray, kinds: int, toxic: np.ndarray) -> np.ndarray:
+    """Which units count as toxic, by the documents they stand in."""
+    pair = np.unique(row * max(kinds, 1) + unit)
     of, what = pair // max(kinds, 1), pair % max(kinds, 1)
     bad = np.bincount(what[toxic[of]], minlength=kinds)
     every = np.bincount(what, minlength=kinds)
-    prior = toxic.mean()
-    share = (bad + 2 * prior) / (every + 2)
-    # A word of clean texts may meet a toxic one by chance: its count must stand out by four deviations, too.
-    chance = every * prior + 4 * np.sqrt(every * prior * (1 - prior)) + 1
-    return (bad >= LEAST_DOCS) & (share >= min(LEAST_LIFT * prior, 0.5 + prior / 2)) & (bad > np.minimum(chance, every - 0.5))
+    prior = float(np.clip(toxic.mean(), 1e-6, 1 - 1e-6))
+    share = np.clip(bad / np.maximum(every, 1), 1e-9, 1 - 1e-9)
+    # How unlikely so many toxic documents of these are by chance, as a log, against as many tries as there are words.
+    surprise = every * (share * np.log(share / prior) + (1 - share) * np.log((1 - share) / (1 - prior)))
+    least = np.log(max(kinds, 1)) + MARGIN
+    chosen = (bad >= LEAST_DOCS) & (share >= min(LEAST_LIFT * prior, 0.5 + prior / 2)) & (surprise > least)
+    # Near copies of one toxic document share all their words: documents count for as many as their words, taken together, make.
+    edges = np.searchsorted(of, np.arange(len(toxic) + 1))
+    for k in np.flatnonzero(chosen).tolist():
+        mine = of[what == k]
+        words = [what[edges[d] : edges[d + 1]] for d in mine[toxic[mine]].tolist()]
+        distinct = len(np.unique(np.concatenate(words))) / np.mean([len(w) for w in words])
+        chosen[k] = surprise[k] * min(1.0, distinct / len(words)) > least
+    return chosen
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 5) -> ToxicityModel:
@@ -194,10 +217,16 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 5) -> ToxicityModel:
     toxic = toxic > 0
     row, word, vocabulary = words_of(texts)
     word = word.astype(np.int64)
-    # Words count by their cores, so that punctuation doesn't split them.
-    cores: dict[bytes, int] = {}
-    core = np.fromiter((cores.setdefault(w.strip(_EDGES) or w, len(cores)) for w in vocabulary), np.int64, len(vocabulary))
-    bad = toxic_words(row, core[word], len(cores), toxic)[core]
+    # Words count by their cores, so that punctuation doesn't split them, and by their beginnings.
+    number: dict[str, int] = {}
+    units = [[number.setdefault(u, len(number)) for u in units_of(core_of(w))] for w in vocabulary]
+    size = np.fromiter(map(len, units), np.int64, len(units))
+    start, flat = np.cumsum(size) - size, np.concatenate(units)
+    pair = np.unique(row * len(vocabulary) + word)
+    each = size[pair % len(vocabulary)]
+    at = np.arange(each.sum()) + np.repeat(start[pair % len(vocabulary)] - (np.cumsum(each) - each), each)
+    chosen = toxic_units(np.repeat(pair // len(vocabulary), each), flat[at], len(number), toxic)
+    bad = np.logical_or.reduceat(chosen[flat], start)
     tags = (bad[word] & toxic[row]).astype(float)
     first = chains(row, word, np.fromiter((w[-1] in b".!?" for w in vocabulary), bool, len(vocabulary)))
     size = np.diff(np.append(first, len(word)))
