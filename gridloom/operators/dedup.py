@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import materialise
+from ..sources.store import drop_table, materialise
 
 BITS = 64
 
@@ -72,6 +72,7 @@ def components(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFr
         hooked = materialise(roots.join(seen, "id", "left").select("id", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root")), "component-hooked")
         up = hooked.select(F.col("id").alias("root"), F.col("root").alias("above"))
         jumped = materialise(hooked.join(up, "root").select("id", "old", F.col("above").alias("root")), "component-roots")
+        drop_table(hooked)
         if jumped.where("old <> root").isEmpty():
             return jumped.select("id", "root")
         roots = jumped.select("id", "root")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from .functions import scalars
 from .operators import boost, dedup, grid, metrics, sampling, sweep, trees
 from .operators.ordering import hashed_rank, running
 from .sources import images, model_files
-from .sources.store import shared_root
+from .sources.store import shared_path
 from .sources.tables import FEATURES, cells, grids, row_key, scored_labels, table
 from .streaming import frames
 
@@ -607,7 +606,7 @@ def ema_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, round(1 / (1 + exp(-(value - 50) / 25)), 6) AS probability FROM events")
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a file stream, scored by micro-batch into the shared folder and read back."""
-    at = f"{shared_root(spark)}/gridloom-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex[:12]}"
+    at = shared_path(spark, "stream")
     schema = table(spark, sf_dir, "events").schema
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     score = lambda b: b.select("event_id", F.round(metrics.sigmoid((F.col("value") - 50) / 25), 6).alias("probability"))

@@ -1,6 +1,8 @@
 """Tables in the shared folder of the session: how iterative operators cut lineage.
 
-``spark.checkpoint.dir`` names the folder; where it is unset (tests, notebooks) one is made and set.
+The folder is the one the session names in ``spark.checkpoint.dir``; only where
+that is unset (tests, notebooks) is a folder of our own made and set. Tables are
+written by Spark's committer, so a lost executor costs its running tasks only.
 """
 
 from __future__ import annotations
@@ -14,16 +16,32 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_root(spark: SparkSession) -> str:
-    root = spark.conf.get(_KEY, None)
+    """The session's shared folder, made and set if the session has none."""
+    root = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set(_KEY, root)
     return root.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for this application below the shared folder."""
+    return f"{shared_root(spark)}/gridloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/gridloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gridloom_path = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table written by :func:`materialise` that nothing will read again."""
+    path = getattr(df, "_gridloom_path", None)
+    if path is not None:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
