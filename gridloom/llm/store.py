@@ -1,52 +1,12 @@
-"""Shared-folder tables: how every operator here cuts lineage.
-
-The folder is the one the session names in ``spark.checkpoint.dir``; only where
-that is unset (tests, notebooks) is a folder of our own made and set. Tables are
-written by Spark's committer, so a lost executor costs its running tasks only.
-"""
+"""Shared-folder tables and files: how every operator here cuts lineage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_KEY = "spark.checkpoint.dir"
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The session's shared folder, made and set if the session has none."""
-    root = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set(_KEY, root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for this application below the shared folder."""
-    return f"{shared_root(spark)}/gridloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._gridloom_path = path
-    return out
+from pyspark.sql import SparkSession
 
+from ..sources.store import drop_table, materialise, shared_path
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table written by :func:`materialise` that nothing will read again."""
-    path = getattr(df, "_gridloom_path", None)
-    if path is None:
-        return
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+__all__ = ["drop_table", "materialise", "shared_path", "write_bytes"]
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
