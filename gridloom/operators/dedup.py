@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import drop_table, materialise
+from .ordering import hashed_rank, running
 
 BITS = 64
 
@@ -85,7 +86,7 @@ def near_duplicate_groups(hashes: DataFrame, id_col: str, hash_col: str, most: i
     """
     good = hashes.where(F.col(hash_col).isNotNull())
     found = components(hashes.select(F.col(id_col).alias("id")), hamming_pairs(good, id_col, hash_col, most))
-    heads = found.where("id = root").select("root").withColumn("group_id", F.row_number().over(Window.orderBy("root")).cast("long") - 1)
+    heads = running(found.where("id = root").select("root", (-F.col("root")).alias("__o")), "__o", ["root"], {}).select("root", (F.col("k").cast("long") - 1).alias("group_id"))
     return found.join(heads, "root").select("id", "group_id")
 
 
@@ -97,11 +98,10 @@ def exact_groups(df: DataFrame, id_col: str, key: Column) -> DataFrame:
 def grouped_split(members: DataFrame, group: str, fraction: float, seed: int) -> DataFrame:
     """``members`` with ``held_out``: whole groups, in the order of md5(seed:group), until the fraction of rows is reached.
 
-    At least one group is taken, and the last may overshoot. The running sum is over one row a group.
+    At least one group is taken, and the last may overshoot.
     """
     total = members.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string"))), group)
-    target = F.greatest(F.lit(1), F.floor(F.sum("n").over(Window.partitionBy()) * fraction))
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chosen = total.select(group, (before < target).alias("held_out"))
+    ordered = hashed_rank(total, F.col(group), seed, sums={"__before": F.col("n")})
+    target = members.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * fraction)).alias("__target"))
+    chosen = ordered.join(F.broadcast(target)).select(group, (F.col("__before") < F.col("__target")).alias("held_out"))  # one row
     return members.join(chosen, group)

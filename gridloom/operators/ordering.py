@@ -44,16 +44,23 @@ def running(df: DataFrame, score: str, ties: list[str], sums: dict[str, Column],
     return out.select(*df.columns, "k", *sums)
 
 
-def hashed_rank(df: DataFrame, key: Column, seed: int, by: list[str] | None = None, digits: int = 3) -> DataFrame:
+def hashed_rank(df: DataFrame, key: Column, seed: int, by: list[str] | None = None, digits: int = 3, sums: dict[str, Column] | None = None) -> DataFrame:
     """``df`` with ``rn``, its rank in the order of ``md5(seed:key)``, and ``h``, that digest, within each group of the columns ``by``.
 
-    The order's first ``digits`` hex digits are the buckets: evenly filled, whatever the keys are.
+    For each of ``sums`` the total of the rows before it comes by that name. The order's first ``digits`` hex digits are the buckets:
+    evenly filled, whatever the keys are.
     """
-    by = by or []
+    by, sums = by or [], sums or {}
     hashed = df.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))).withColumn("__p", F.substring("h", 1, digits))
-    totals = hashed.groupBy(*by, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    for name, value in sums.items():
+        hashed = hashed.withColumn(f"__v_{name}", value)
+    counted = hashed.groupBy(*by, "__p").agg(F.count(F.lit(1)).alias("__n"), *(F.sum(f"__v_{name}").alias(f"__t_{name}") for name in sums))
     before = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # 16 ** digits rows a group
-    starts = totals.select(*by, "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__k0"))
+    starts = counted.select(*by, "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__k0"), *(F.coalesce(F.sum(f"__t_{name}").over(before), F.lit(0)).alias(f"__s_{name}") for name in sums))
     order = Window.partitionBy(*by, "__p").orderBy("h")
-    ranked = hashed.withColumn("__k", F.row_number().over(order)).join(starts, [*by, "__p"])
-    return ranked.select(*df.columns, "h", (F.col("__k") + F.col("__k0")).cast("long").alias("rn"))
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    ranked = hashed.withColumn("__k", F.row_number().over(order))
+    for name in sums:
+        ranked = ranked.withColumn(name, F.coalesce(F.sum(f"__v_{name}").over(earlier), F.lit(0)))
+    ranked = ranked.join(starts, [*by, "__p"])
+    return ranked.select(*df.columns, "h", (F.col("__k") + F.col("__k0")).cast("long").alias("rn"), *((F.col(name) + F.col(f"__s_{name}")).alias(name) for name in sums))
