@@ -214,7 +214,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = found.where("kept").select(F.col("id").alias("__id"), F.col("sha").alias("__sha")).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
     tagged = docs.withColumn("__of", F.unhex(F.sha2(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", ""), 256)))
-    stays = tagged.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__sha")), "left_semi")
+    # Both sides grow with the documents: neither may be broadcast, whatever its size just now.
+    stays = tagged.join(kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__sha")), "left_semi")
     if repeats:  # an id may repeat with texts that differ in white space: the longest of them stays
         order = Window.partitionBy(id_col, "__of").orderBy(F.char_length(text).desc())
         stays = stays.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")

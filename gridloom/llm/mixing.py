@@ -147,7 +147,8 @@ def take_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mixed = mix_sources(docs, id_col, text_col, source_col).where("copies > 0")
     per_key = materialise(mixed.groupBy(F.col("id").alias("__id"), F.col("size").alias("__size")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")), "mix-taken")
     tagged = docs.withColumn("__n", word_count(text_col))
-    taken = tagged.join(per_key, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
+    # Both sides grow with the documents: neither may be broadcast, whatever its size just now.
+    taken = tagged.join(per_key.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
     copies = F.col("__copies")
     if not per_key.where("__rows > 1").isEmpty():  # rows that repeat share their copies
         number = F.row_number().over(Window.partitionBy("__id", "__size").orderBy(text_col, source_col))
