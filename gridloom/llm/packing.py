@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialise
-from .tokens import WordTokenizer
+from .tokens import word_tokenizer
 from .text import tidy
 
 LENGTH = 4096
@@ -33,6 +33,8 @@ END_ID = 1
 BLOCK = 1 << 14
 #: Bytes of text that are encoded at a time.
 CHUNK_BYTES = 4 << 20
+#: For tokens, as larger slices repeat more words.
+TOKEN_BYTES = 6 << 20
 
 _PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = _PIECES + ", uid long, block long, sequence_id long, offset long, open boolean"
@@ -53,9 +55,9 @@ def cut(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
     """The pieces of ``id, text``: where each starts in its document's ids, its length, and the crc32 of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer_path)
+        words = word_tokenizer(tokenizer_path)
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, TOKEN_BYTES):
                 ids, begins = words.encode(part.column(1))
                 row, piece, start, size, crc = [], [], [], [], []
                 for k, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)):

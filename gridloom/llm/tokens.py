@@ -2,8 +2,8 @@
 
 White space separates words for this kind of tokenizer: it is dropped, and no token or
 normal form spans it. So a batch's texts are split in Arrow, and the tokenizer sees each
-different word once. A run of plain punctuation at a word's end is a token of its own
-for it and is taken off first; words of ASCII letters are lower-cased first, as the tokenizer does.
+different word once. A run of plain punctuation after a word's last letter is never part of a token with
+it, so a space is put between; ASCII words are lower-cased first, as the tokenizer does.
 Both leave fewer different words. Words already met are kept, up to a bound.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,9 @@ import pyarrow.compute as pc
 from .text import compact
 
 #: Words kept between batches, at most.
-KEPT_WORDS = 400_000
-#: Signs that never join what stands before them, neither as a token nor in a normal form.
-_TAIL = ".,!?;:$%&*#|)"
+KEPT_WORDS = 600_000
+#: Signs that never join the letter before them, neither in a token nor in a normal form, at the end of a word.
+_TAIL = r"(\pL)([.,!?;:$%&*#|)]+)(\s|$)"
 
 
 class WordTokenizer:
@@ -38,34 +39,8 @@ class WordTokenizer:
         self.at: dict[str, int] = {"": 0}
         self.ids, self.ends = array("I"), array("q", [0, 0])
 
-    def _learn(self, words: list[str]) -> None:
-        """Stores the ids of words that aren't known, by their parts where they have two or aren't lower case."""
-        at, parted, need = self.at, [], {}
-        for word in words:
-            stem = word.rstrip(_TAIL)
-            if "<|" in word or not stem or not stem[-1].isalpha():  # may hold a special token, or has no letter before the signs
-                need[word] = None
-                continue
-            lower = stem.lower() if stem.isascii() else stem
-            if lower not in at:
-                need[lower] = None
-            if lower != word:
-                tail = word[len(stem) :]
-                parted.append((word, lower, tail))
-                if tail not in at:
-                    need[tail] = None
-        self._encode(list(need))
-        ids, ends = self.ids, self.ends
-        for word, lower, tail in parted:
-            k = at[lower]
-            ids.extend(ids[ends[k] : ends[k + 1]])
-            if tail:
-                k = at[tail]
-                ids.extend(ids[ends[k] : ends[k + 1]])
-            at[word] = len(ends) - 1
-            ends.append(len(ids))
-
     def _encode(self, words: list[str]) -> None:
+        """Stores the ids of words that aren't known."""
         at, ids, ends = self.at, self.ids, self.ends
         for k in range(0, len(words), 8192):
             part = words[k : k + 8192]
@@ -78,15 +53,19 @@ class WordTokenizer:
         """All ids of a batch in one array, and where each text's begin (one more than there are texts); null is empty."""
         if len(self.at) > self.kept:
             self._clear()
-        lists = pc.ascii_split_whitespace(pc.fill_null(compact(texts).cast(pa.large_utf8()), ""))
+        plain = pc.fill_null(compact(texts).cast(pa.large_utf8()), "")
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, _TAIL, r"\1 \2\3"))
         edges = lists.offsets.to_numpy().astype(np.int64)
         edges -= edges[0]
-        coded = lists.flatten().dictionary_encode()
+        words = lists.flatten()
+        # A word with "<|" may hold a special token, whose case matters.
+        fold = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+        coded = pc.if_else(fold, pc.ascii_lower(words), words).dictionary_encode()
         word = coded.indices.to_numpy(zero_copy_only=False)
         vocabulary = coded.dictionary.to_pylist()
         known = list(map(self.at.get, vocabulary))
         if new := [w for w, k in zip(vocabulary, known, strict=True) if k is None]:
-            self._learn(new)
+            self._encode(new)
             known = list(map(self.at.get, vocabulary))
         # Copies, as an array that is being looked at can't grow.
         ids, ends = np.array(self.ids, np.uint32), np.array(self.ends, np.int64)
@@ -95,9 +74,17 @@ class WordTokenizer:
         return out, begins[edges]
 
 
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The worker's tokenizer: its tasks follow one another and share what words they have met."""
+    return WordTokenizer(path)
+
+
 def _gather(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The slices ``values[first:end]`` one after another, and where each begins (one more than there are slices)."""
     sizes = end - first
     begins = np.concatenate(([0], np.cumsum(sizes)))
-    take = np.arange(begins[-1]) + np.repeat(first - begins[:-1], sizes)
+    narrow = np.int32 if max(begins[-1], len(values)) < 1 << 31 else np.int64
+    take = np.repeat((first - begins[:-1]).astype(narrow), sizes)
+    take += np.arange(begins[-1], dtype=narrow)
     return values[take], begins
