@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from .text import compact
 
 #: Words kept between batches, at most.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 500_000
 #: Signs that never join the letter before them, neither in a token nor in a normal form, at the end of a word.
 _TAIL = r"(\pL)([.,!?;:$%&*#|)]+)(\s|$)"
 
