@@ -116,52 +116,167 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, F.col("fingerprint") == F.col("known"), "left").select("id", "fingerprint", "component_id")
 
 
-# Near copies by similarity. A similarity of 0.8 in five-word shingles leaves 64-bit fingerprints of those shingles some ten bits
-# apart, and a ball of that radius can't be enumerated. So a text gets ``TABLES`` short fingerprints of its two-word shingles, which edits touch
-# less; each is met in the middle at ``RADIUS``, and whatever meets in one of them is verified by the five-word shingles.
-
-TABLES = 8
-TABLE_BITS = 32
-RADIUS = 2
-#: Five-word shingles with the smallest hashes that are kept to compare texts; of shorter texts all are, and for them similarities are exact.
-#: For longer ones an estimate of 0.8 has a deviation of 0.018.
-SKETCH = 512
-
-
-def short_fingerprints(text: bytes, words: int = 2, tables: int = TABLES) -> np.ndarray:
-    """``tables`` SimHash fingerprints of ``TABLE_BITS`` bits."""
-    hashes = np.unique(shingle_hashes(text, words))
-    out = np.empty(tables, np.int64)
-    for k in range(0, tables, 2):
-        mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
-        both = majority(mixed ^ (mixed >> np.uint64(32)))
-        out[k : k + 2] = (both & 0xFFFFFFFF, both >> 32)[: tables - k]
-    return out
-
-
-def sketch(text: bytes, words: int = 5, size: int = SKETCH) -> bytes:
-    """The ``size`` smallest different 32-bit shingle hashes, ascending."""
-    return np.unique((shingle_hashes(text, words) >> np.uint64(32)).astype("<u4"))[:size].tobytes()
-
-
-def sketch_similarity(a: bytes, b: bytes, size: int = SKETCH) -> float:
-    """Jaccard similarity: exact if both texts have at most ``size`` shingles, else estimated from the smallest of their union."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    union = np.union1d(x, y)
-    if len(x) >= size or len(y) >= size:
-        union = union[:size]
-    return float((np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True)).sum() / len(union))
-
-
-def _sketches(words: int):
+# Near copies by similarity, exactly. Shingles have one order for all texts, and two texts whose similarity is at least s share a shingle
+# among the first (1 - s) n + 1 of each: these, the prefixes, are dealt out by shingle. What holds for the first common shingle of a similar pair, that sizes and
+# places leave room for the overlap, prunes the pairs that meet; the rest is compared by all shingles. Any order is exact; one with frequent shingles last meets few.
+
+#: One document in so many is looked at for frequent shingles; a shingle that so many of those have is frequent; so many are known at most. These set costs, not results.
+SAMPLE, FREQUENT, MOST_FREQUENT = 8, 3, 1 << 18
+#: Size of the table of bits by which texts that nothing met are passed over, and texts to a batch.
+ASKED_BITS, TEXTS = 1 << 23, 256
+#: In the first round a bucket's members meet one of them only; there are so many ways to choose it.
+HEADS = 4
+_EPS = 1e-6
+
+
+def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
+    """The different shingle hashes, ascending."""
+    return np.unique(shingle_hashes(text, words))
+
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray, count: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles, rare ones before those of the ascending table ``frequent``: a text of this similarity has one of them among its own first ones."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    level = np.zeros(n, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        level = np.where(frequent[at] == shingles, count[at], 0)
+    return shingles[np.lexsort((shingles, level))][: n - int(np.ceil(similarity * n - _EPS)) + 1]
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(k, TEXTS)
+            yield part, list(text_bytes(part.column(1)))
+
+
+def _each_shingle(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _texts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, words) for t in texts]).view(np.int64))], names=["shingle"])
+
+    return run
+
+
+def _prefixes(words: int, similarity: float, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, count = shared.value
+        for part, texts in _texts(batches):
+            sets = [shingle_set(t, words) for t in texts]
+            same = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), np.uint64, len(sets)).view(np.int64)
+            first = [prefix(x, frequent, count, similarity) for x in sets]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in first])))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same), pa.array([len(x) for x in sets], pa.int32()), lists], names=["id", "same", "size", "prefix"])
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first one, in parts that end where its value changes."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(now[0]):
+            continue
+        cut = int(np.searchsorted(now[0], now[0][-1]))  # the last value may go on in the next batch
+        if cut or (held and held[-1][0][-1] != now[0][0]):
+            if not cut and held:
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = []
+            else:
+                yield [np.concatenate(c) for c in zip(*held, [x[:cut] for x in now], strict=True)]
+                held = []
+        held.append([x[cut:] for x in now])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return first, np.diff(np.append(first, len(key)))
+
+
+_POSTINGS = "shingle long, same long, size int, place int"
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of the shingles that more than one text has."""
+    for columns in _groups(batches):
+        _, count = _bounds(columns[0])
+        keep = np.repeat(count > 1, count)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=["shingle", "same", "size", "place"])
+
+
+def may_be_similar(size_a, place_a, size_b, place_b, similarity: float):
+    """False if texts of these sizes whose first common shingle is at these places can't have the similarity."""
+    room = 1 + np.minimum(size_a - place_a - 1, size_b - place_b - 1)
+    least = similarity / (1 + similarity) * (size_a.astype(np.int64) + size_b)
+    return (room >= least - _EPS) & (np.minimum(size_a, size_b) >= similarity * np.maximum(size_a, size_b) - _EPS)
+
+
+def _pairs_batch(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["x", "y"])
+
+
+def _meet_head(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shingle, same, size, place in _groups(batches):
+            first, count = _bounds(shingle)
+            salt = (shingle.view(np.uint64) % np.uint64(HEADS) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            rank = (same.view(np.uint64) ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
+            head = np.repeat(np.lexsort((rank ^ (rank >> np.uint64(31)), shingle))[first], count)
+            some = (same != same[head]) & may_be_similar(size, place, size[head], place[head], similarity)
+            if some.any():
+                yield _pairs_batch(same[some], same[head][some])
+
+    return run
+
+
+def _meet_all(similarity: float):
+    """All pairs of a bucket that are not of one component yet."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shingle, same, size, place, root in _groups(batches):
+            first, count = _bounds(shingle)
+            mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
+            xs, ys, held = [], [], 0
+            for a, n in zip(first[mixed].tolist(), count[mixed].tolist(), strict=True):
+                own = slice(a, a + n)
+                by = np.argsort(size[own], kind="stable") + a
+                s, p, r, t = size[by], place[by], root[by], same[by]
+                last = np.searchsorted(s, s / similarity + _EPS, "right")
+                for i in range(n - 1):
+                    j = slice(i + 1, int(last[i]))
+                    some = np.flatnonzero((r[j] != r[i]) & may_be_similar(s[j], p[j], s[i], p[i], similarity))
+                    if len(some):
+                        xs.append(np.full(len(some), t[i]))
+                        ys.append(t[j][some])
+                        held += len(some)
+                    if held > 1 << 18:
+                        yield _pairs_batch(np.concatenate(xs), np.concatenate(ys))
+                        xs, ys, held = [], [], 0
+            if held:
+                yield _pairs_batch(np.concatenate(xs), np.concatenate(ys))
+
+    return run
+
+
+def _asked_sets(words: int, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
-            texts = list(text_bytes(batch.column(1)))
-            prints = np.concatenate([short_fingerprints(t) for t in texts]) if texts else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * TABLES, pa.int32()), pa.array(prints, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), lists, pa.array([sketch(t, words) for t in texts], pa.binary())], names=["id", "prints", "sketch"])
+            h = batch.column(2).to_numpy(zero_copy_only=False)
+            asked = batch.filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
+            for _, texts in _texts([asked]):
+                sets = [shingle_set(t, words).tobytes() for t in texts]
+                same = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in sets), np.uint64, len(sets)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(same), pa.array(sets, pa.binary())], names=["same", "shingles"])
 
     return run
 
@@ -169,39 +284,67 @@ def _sketches(words: int):
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = [sketch_similarity(a.as_py(), b.as_py()) >= similarity for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            alike = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(alike, pa.bool_()))
 
     return run
 
 
+def frequent_shingles(docs: DataFrame, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a share of the rows ``(id, text)``, ascending, and their counts there."""
+    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(tidy(_each_shingle(words)), "shingle long")
+    found = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toArrow()
+    shingle, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(id, component_id)`` for every row: components of texts whose shingles have this similarity, named by the smallest id.
 
-    Texts with the same shingles are one text here. Links are verified pairs of texts that met in a table: of those with the same short
-    fingerprint each with the smallest, and the smallest ones of fingerprints within the radius. Rows without an id count as id -1.
+    Texts with the same shingles are one text here. In each bucket of a prefix shingle all meet one of them first; what is linked
+    then needn't meet again, all other pairs do. Every link is verified by all shingles. Rows without an id count as id -1.
     """
+    context = docs.sparkSession.sparkContext
     used = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(text_col).alias("text"))
-    rows = materialise(used.mapInArrow(tidy(_sketches(words)), "id long, prints array<long>, sketch binary").withColumn("same", F.xxhash64("sketch", "prints")), "sketches")
-    texts = materialise(rows.groupBy("same").agg(F.min("id").alias("first_id")), "sketch-classes")
+    frequent = context.broadcast(frequent_shingles(used, words))  # bounded
+    rows = materialise(used.mapInArrow(tidy(_prefixes(words, similarity, frequent)), "id long, same long, size int, prefix array<long>"), "similar-rows")
+    texts = materialise(rows.groupBy("same").agg(F.min("id").alias("first_id")), "similar-classes")
     # One row stands for all with the same shingles: the one with the smallest id, or any of those that repeat it.
-    known = rows.select("same", "id", "prints", "sketch").join(texts.select(F.col("same").alias("of"), "first_id"), (F.col("same") == F.col("of")) & (F.col("id") == F.col("first_id")), "left_semi")
-    known = materialise(known.dropDuplicates(["same"]), "sketch-texts")
-    placed = known.select("same", F.posexplode("prints").alias("table", "print")).select("same", (F.col("print") + F.shiftleft(F.col("table").cast("long"), TABLE_BITS)).alias("fingerprint"))
-    placed = materialise(placed, "sketch-places")
-    heads = materialise(placed.groupBy("fingerprint").agg(F.min("same").alias("head")), "sketch-heads")
-    near = ball_links(heads, RADIUS, TABLE_BITS)
-    a, b = heads.select(F.col("fingerprint").alias("a"), F.col("head").alias("x")), heads.select(F.col("fingerprint").alias("b"), F.col("head").alias("y"))
-    met = near.join(a, "a").join(b, "b").select("x", "y")
-    stars = placed.join(heads, "fingerprint").select(F.col("head").alias("x"), F.col("same").alias("y"))
-    pairs = materialise(stars.unionByName(met).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "sketch-pairs")
-
-    first, second = known.select(F.col("same").alias("x"), F.col("sketch").alias("sx")), known.select(F.col("same").alias("y"), F.col("sketch").alias("sy"))
-    # What grows with the documents isn't broadcast, whatever its size just now.
-    links = pairs.join(first.hint("merge"), "x").join(second.hint("merge"), "y").select("x", "y", "sx", "sy").mapInArrow(tidy(_verify(similarity)), "x long, y long")
+    known = rows.join(texts.select(F.col("same").alias("of"), "first_id").hint("merge"), (F.col("same") == F.col("of")) & (F.col("id") == F.col("first_id")), "left_semi").dropDuplicates(["same"])
+    by_shingle = lambda table: table.repartition("shingle").sortWithinPartitions("shingle")
+    postings = known.select("same", "size", F.posexplode("prefix").alias("place", "shingle")).select("shingle", "same", "size", "place")
+    shared = materialise(by_shingle(postings).mapInArrow(tidy(_shared), _POSTINGS), "similar-shared")
+
+    # Only texts in a bucket are read again. A table of bits of fixed size passes over nearly all others.
+    asked = texts.join(shared.select(F.col("same").alias("of")).distinct().hint("merge"), F.col("same") == F.col("of"), "left_semi")
+    place = F.pmod(F.xxhash64(F.col("first_id")), F.lit(ASKED_BITS))
+    found = asked.select(place.alias("h")).groupBy(F.expr("h div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("b")).toArrow()
+    bits = np.zeros(ASKED_BITS // 64, np.int64)
+    bits[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    again = used.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(ASKED_BITS)).alias("h"))
+    sets = materialise(again.mapInArrow(tidy(_asked_sets(words, context.broadcast(bits))), "same long, shingles binary").dropDuplicates(["same"]), "similar-sets")
+    first, second = sets.select(F.col("same").alias("x"), F.col("shingles").alias("sx")), sets.select(F.col("same").alias("y"), F.col("shingles").alias("sy"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        # What grows with the documents isn't broadcast, whatever its size just now.
+        both = pairs.join(first.hint("merge"), "x").join(second.hint("merge"), "y").select("x", "y", "sx", "sy")
+        return materialise(both.mapInArrow(tidy(_verify(similarity)), "x long, y long"), "similar-links")
+
+    heads = materialise(by_shingle(shared).mapInArrow(tidy(_meet_head(similarity)), "x long, y long").distinct(), "similar-heads")
+    links = verified(heads)
     up = connected_components(links, "x", "y")
-    rooted = materialise(texts.join(up, F.col("same") == F.col("node"), "left").select("same", "first_id", F.coalesce("parent", "same").alias("root")), "sketch-rooted")
-    named = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "sketch-named")
+    labelled = shared.join(up.hint("merge"), F.col("same") == F.col("node"), "left").select("shingle", "same", "size", "place", F.coalesce("parent", "same").alias("root"))
+    others = by_shingle(labelled).mapInArrow(tidy(_meet_all(similarity)), "x long, y long").distinct().join(heads.hint("merge"), ["x", "y"], "left_anti")
+    more = verified(materialise(others, "similar-others"))
+    if not more.isEmpty():
+        up = connected_components(up.select(F.col("node").alias("x"), F.col("parent").alias("y")).unionByName(more), "x", "y")
+    rooted = materialise(texts.join(up, F.col("same") == F.col("node"), "left").select("same", "first_id", F.coalesce("parent", "same").alias("root")), "similar-rooted")
+    named = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "similar-named")
     classes = rooted.join(named, "root").select(F.col("same").alias("known"), "component_id")
     return rows.select("id", "same").join(classes, F.col("same") == F.col("known"), "left").select("id", "component_id")
 

@@ -150,3 +150,21 @@ def test_colliding_keys_are_chained_by_bytes():
     batch = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), exact_dedup._HEADS, strict=True)], schema=exact_dedup._HEADS)
     out = [tuple(r[k] for k in ("bucket", "key", "chain", "rows", "keep_chars", "keep_id")) for b in exact_dedup._own(iter([batch.slice(0, 2), batch.slice(2)])) for r in b.to_pylist()]
     assert out == [(0, 5, 0, 5, 9, 8), (0, 5, 1, 1, 1, 2), (1, 6, 0, 1, 1, 4)]
+
+
+def similar_to_brute_force(spark, texts):
+    """Whether the groups are those of all pairs; also how many pairs are linked."""
+    sets = {i: frozenset(simhash_dedup.shingle_hashes(t.encode(), 5).tolist()) for i, t in enumerate(texts)}
+    pairs = [(a, b) for a in sets for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = {r["id"]: r["component_id"] for r in simhash_dedup.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    return found == brute_groups(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b)), len(pairs)
+
+
+def test_near_copies_among_texts_that_share_a_passage(spark):
+    """Unrelated texts at 0.75 that meet in every bucket; copies of some of them at 0.9."""
+    rng = np.random.default_rng(11)
+    passage = [f"p{k}" for k in range(400)]
+    own = [[f"o{k}" for k in rng.integers(0, 1 << 30, 65)] for _ in range(300)]
+    near = [x[:-24] + [f"c{k}" for k in rng.integers(0, 1 << 30, 24)] for x in own[:60]]
+    right, linked = similar_to_brute_force(spark, [" ".join(passage + x) for x in own + near])
+    assert right and linked == 60
