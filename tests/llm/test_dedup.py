@@ -168,3 +168,18 @@ def test_near_copies_among_texts_that_share_a_passage(spark):
     near = [x[:-24] + [f"c{k}" for k in rng.integers(0, 1 << 30, 24)] for x in own[:60]]
     right, linked = similar_to_brute_force(spark, [" ".join(passage + x) for x in own + near])
     assert right and linked == 60
+
+
+def test_block_edits_are_met(spark):
+    """Copies with text appended, cut off or replaced, at 0.8 to 0.9."""
+    rng = np.random.default_rng(12)
+    fresh = lambda n: [f"b{k}" for k in rng.integers(0, 1 << 30, n)]
+    texts = []
+    for k in range(180):
+        base, part = fresh(200), (0.805, 0.81, 0.85, 0.9)[k % 4]
+        n = int(200 * (1 / part - 1))
+        cut = int(200 * (1 - part)) - 1
+        block = int(196 * (1 - part) / (1 + part)) - 5
+        texts += [base, (base + fresh(n - 1), base[:-cut], base[:60] + fresh(block) + base[60 + block :])[k % 3]]
+    right, linked = similar_to_brute_force(spark, [" ".join(x) for x in texts])
+    assert right and linked == 180
