@@ -183,3 +183,14 @@ def test_block_edits_are_met(spark):
         texts += [base, (base + fresh(n - 1), base[:-cut], base[:60] + fresh(block) + base[60 + block :])[k % 3]]
     right, linked = similar_to_brute_force(spark, [" ".join(x) for x in texts])
     assert right and linked == 180
+
+
+def test_long_texts_are_compared_by_all_shingles(spark):
+    rng = np.random.default_rng(13)
+    fresh = lambda n: [f"l{k}" for k in rng.integers(0, 1 << 30, n)]
+    texts = []
+    for k in range(80):  # at 0.79 and 0.81
+        base = fresh(1500)
+        texts += [base, base + fresh(int(1496 * (1 / (0.79, 0.81)[k % 2] - 1)))]
+    right, linked = similar_to_brute_force(spark, [" ".join(x) for x in texts])
+    assert right and linked == 40
