@@ -4,8 +4,8 @@ A pattern's matches and the pieces between them, taken by the same engine, give
 running lengths. Beside the patterns, candidate strings (long runs of one character class) are scanned by a
 sliding window. The window's Shannon entropy is ``log2 W - f / W`` with ``f`` the sum of
 ``c log2 c`` over its character counts; a step changes two counts, and ``f`` by table look-ups. From the first to
-the last window that reaches its class's threshold is a further span, unless the candidate is on the allow list (a word, a number, one
-repeated sign, a UUID, a placeholder) or the span lies within one already found. Patterns
+the last window that reaches its class's threshold is a further span, unless the whole candidate is on the allow list (words, a number, one
+repeated sign, a UUID, a placeholder, the digits or letters in order) or the span lies within one already found. Patterns
 run over whole texts; only texts that have a match pay for its place.
 
 Cases: a null or empty text has no spans; repeated rows are scanned each; an empty table gives no rows; other columns are ignored.
@@ -43,8 +43,12 @@ ENTROPY: tuple[EntropyClass, ...] = (
     EntropyClass("entropy_base64", r"[A-Za-z0-9+/_-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 20, 3.6),
 )
 
-#: Candidates that are no secrets although they may look random.
-ALLOWED = r"^(?:[A-Za-z_/+-]*|[0-9_/+-]*|[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12})$|(?i:example|placeholder|changeme|xxxxxx|your[_-]?(?:key|token|secret))|(.)\1{7,}|0123456789|(?i:abcdefghij)"
+#: Twenty and more letters on end that are no word: six consonants on end, three clusters of consonants in a row, or twice one small letter between capitals.
+_NO_WORD = r"(?!.*(?<![A-Za-z])(?=[A-Za-z]{20})(?:[A-Za-z]*(?i:[b-df-hj-np-tv-xz]{6}|[b-df-hj-np-tv-xz]{3}[aeiouy][b-df-hj-np-tv-xz]{3,}[aeiouy][b-df-hj-np-tv-xz]{3})|(?:[A-Za-z]*[A-Z][a-z](?=[A-Z])){2}))"
+_PLACEHOLDER = r"(?i:example|placeholder|changeme|xxxxxx|your[_-]?(?:key|token|secret))[0-9]{0,4}"
+
+#: Candidates that as a whole are no secrets although they may look random; a harmless stretch excuses nothing beside it.
+ALLOWED = rf"^(?:{_NO_WORD}[A-Za-z_/+-]*(?:{_PLACEHOLDER}[A-Za-z_/+-]*)?|[0-9_/+-]*|[0-9A-Fa-f]{{8}}-(?:[0-9A-Fa-f]{{4}}-){{3}}[0-9A-Fa-f]{{12}}|(.)\1*|(?i:(?:(?:0?123456789|abcdef(?:ghij(?:klmnopqrstuvwxyz)?)?)[_/+-]*)+))$"
 
 _SPAN = "array<struct<start: int, end: int, m: string>>"
 

@@ -74,6 +74,19 @@ def test_secret_edges_and_digest(edge, empty, spark):
     assert row["w"] == "assign:2:20" and row["r"] == "x [secret] y"
 
 
+def test_harmless_stretches_hide_no_secrets(spark):
+    hidden = [
+        "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAABlwAAAAdzc2gtcnNhAAAAAwEAAQAAAYEA",
+        "q7Zp0123456789Kd82LmQx90ZtRv51BnYc34Wf",
+        "example/com/v1/sk_live_9aZq3Lw8Xv2Rt6Yb1Kp4",
+        "qzXvTbWkPmNvRcLsDfGhJtKw",
+        "wqkzjxvbtrhplmncdsfgqzta",
+    ]
+    harmless = ["eineinkeitchzukeitheit", "getElementsByClassNameAndOther", "some/long/path-of_words/in/it", "your_token_goes_here_example1", "A" * 30, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "123e4567-e89b-12d3-a456-426614174000"]
+    found = {r["id"]: r["spans"] for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(hidden + harmless)), "id int, text string"), "id").collect()}
+    assert [i for i in found if any(x["kind"] == "entropy_base64" for x in found[i])] == list(range(len(hidden)))
+
+
 # Languages.
 
 
