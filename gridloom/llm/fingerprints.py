@@ -1,7 +1,8 @@
 """Document fingerprints by order MinHash.
 
 A document's k-mers are runs of ``K`` words, each numbered by how often it occurred before in the
-document. For each of ``SLOTS`` hash functions the ``TUPLE`` numbered k-mers with the smallest
+document. A word of more than ``LONG_WORD`` code points counts as its runs of ``PIECE`` code points, one from each
+place, so texts without spaces have k-mers, too. For each of ``SLOTS`` hash functions the ``TUPLE`` numbered k-mers with the smallest
 hashes are selected, put back in text order, and hashed as one tuple. Two documents agree in a slot if they share
 those k-mers in that order, so moved passages count as edits and not only missing ones.
 
@@ -32,6 +33,7 @@ from .text import tidy
 K = 2
 TUPLE = 2
 SLOTS = 32
+LONG_WORD, PIECE = 20, 8
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -55,9 +57,13 @@ def kmers(texts: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     coded = flat.dictionary_encode()
     vocabulary = coded.dictionary.cast(pa.large_binary()).to_pylist()
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), np.uint64, len(vocabulary))
-    row, word = row[some], (hashes[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.empty(0, np.uint64))[some]
+    at = (coded.indices.to_numpy(zero_copy_only=False) if len(flat) else np.empty(0, np.int64))[some]
+    row, word = row[some], hashes[at]
     if not len(row):
         return row, word
+    letters = pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
+    if (letters[at] > LONG_WORD).any():
+        row, word = _in_pieces(row, at, hashes, letters, vocabulary)
     count = np.bincount(row, minlength=len(texts))
     begins = np.cumsum(count) - count
     place = np.arange(len(row)) - begins[row]
@@ -71,6 +77,23 @@ def kmers(texts: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     return row[keep], code[keep]
 
 
+def _in_pieces(row: np.ndarray, at: np.ndarray, hashes: np.ndarray, letters: np.ndarray, vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of the words, long ones as their pieces."""
+    long = letters > LONG_WORD
+    size = np.where(long, letters - PIECE + 1, 1)
+    start = np.cumsum(size) - size
+    flat = np.empty(size.sum(), np.uint64)
+    flat[start[~long]] = hashes[~long]
+    for v in np.flatnonzero(long).tolist():
+        points = np.frombuffer(vocabulary[v].decode().encode("utf-32-le"), "<u4").astype(np.uint64)
+        code = np.zeros(size[v], np.uint64)
+        for i in range(PIECE):
+            code = mix(code + _STEP + points[i : i + size[v]])
+        flat[start[v] : start[v] + size[v]] = code
+    each = size[at]
+    return np.repeat(row, each), flat[np.arange(each.sum()) + np.repeat(start[at] - (np.cumsum(each) - each), each)]
+
+
 def signatures(texts: pa.Array, k: int = K, size: int = TUPLE, slots: int = SLOTS) -> np.ndarray:
     """A matrix of 32-bit numbers: a row a text, a column a slot."""
     n = len(texts)

@@ -212,6 +212,14 @@ def test_signatures_equal_brute_force():
     assert [[brute_signature(t, s) for s in range(4)] for t in texts] == found[:, :4].tolist()
 
 
+def test_texts_without_spaces_have_fingerprints():
+    rng = np.random.default_rng(6)
+    for letters in (range(0x4E00, 0x4E00 + 2000), range(97, 123)):
+        a, b = ("".join(map(chr, rng.choice(letters, 2000))) for _ in range(2))
+        own, new, other = fingerprints.signatures(pa.array([a, fingerprints.edited(a, b), b]), slots=256)
+        assert fingerprints.likeness(own[None], new[None])[0] > 0.2 > 0.02 > fingerprints.likeness(own[None], other[None])[0]
+
+
 # Quality and toxicity.
 
 
