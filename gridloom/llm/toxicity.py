@@ -3,7 +3,8 @@
 Chains are sentences, at most ``CHAIN`` words each, so that very long texts are many chains of
 bounded length; every word is in one. A word's features are its hashed core and beginnings, and the cores
 before and after it. Labels come by document, so tokens are labelled first: a word whose core or beginning is over-represented in toxic documents, beyond chance, is toxic where
-it stands in a toxic document; all other tokens are clean. The field is fitted to those tags by AdaGrad on the log likelihood.
+it stands in a toxic document; all other tokens are clean. The field is fitted to those tags by AdaGrad on the log likelihood,
+from a bounded number of labelled rows (``most`` of :func:`fit_toxicity`).
 
 With two states, forward and backward messages are single odds, and a word's marginal is the product of the two. A
 document's score is a logistic function of its largest marginal and its expected number of toxic words, fitted on
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from .packing import chunks
-from .quality import labelled_sample
+from .quality import MAX_TRAIN, labelled_sample
 from .text import tidy, words_of
 
 BUCKETS = 1 << 16
@@ -208,8 +209,8 @@ def toxic_units(row: np.ndarray, unit: np.ndarray, kinds: int, toxic: np.ndarray
     return chosen
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 5) -> ToxicityModel:
-    """A model of labelled texts; deterministic for the same rows in the same order."""
+def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 5, clean_ratio: int = CLEAN_RATIO) -> ToxicityModel:
+    """A model of labelled texts; deterministic for the same rows in the same order. For ``clean_ratio`` see :func:`fit_toxicity`."""
     share = (toxic.sum() + 0.5) / (len(toxic) + 1)
     constant = np.array([np.log(share / (1 - share)), 0.0, 0.0])
     if len(set(toxic.tolist())) < 2:
@@ -233,7 +234,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 5) -> ToxicityModel:
     number = np.add.reduceat(tags, first) if len(first) else np.empty(0)
     hit, miss = np.flatnonzero(number > 0), np.flatnonzero(number == 0)
     rng = np.random.default_rng(seed)
-    miss = rng.permutation(miss)[: max(CLEAN_LEAST, CLEAN_RATIO * len(hit))]
+    miss = rng.permutation(miss)[: max(CLEAN_LEAST, clean_ratio * len(hit))]
     mine = np.sort(np.concatenate([hit, miss]))
     begins = np.cumsum(size[mine]) - size[mine]
     take = np.arange(size[mine].sum()) + np.repeat(first[mine] - begins, size[mine])
@@ -267,10 +268,14 @@ def offending(text: str, marginal: np.ndarray, least: float = 0.5) -> list[tuple
     return out
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    table = labelled_sample(docs, labels, label, learn, [text_col], id_col)
+def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN, clean_ratio: int = CLEAN_RATIO) -> ToxicityModel:
+    """A model of at most ``most`` labelled rows, those with the smallest hashes of their ids; toxic words that stand in fewer than ``LEAST_DOCS`` toxic ones of them aren't learned.
+
+    All chains with a toxic word are learned from, and a seeded choice of ``clean_ratio`` times as many without, at least ``CLEAN_LEAST``.
+    """
+    table = labelled_sample(docs, labels, label, learn, [text_col], id_col, most)
     texts = table.column(text_col).combine_chunks()
-    return fit(texts if len(table) else pa.array([], pa.string()), table.column("__label").to_numpy())
+    return fit(texts if len(table) else pa.array([], pa.string()), table.column("__label").to_numpy(), clean_ratio=clean_ratio)
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -285,3 +285,13 @@ def test_model_edges(spark, edge, empty):
     assert scored.columns == [*edge.columns, "__s"] and scored.count() == 13
     assert quality.with_score(edge, quality.fit_quality(edge, both, every)).columns == [c for c in edge.columns if c != "score"] + ["score"]
     assert toxicity.with_toxicity(edge, toxicity.fit_toxicity(edge, both, every), keep=["doc_id"]).count() == 13
+
+
+def test_bounds_of_toxicity_are_parameters(spark):
+    plain = [" ".join(f"w{n}" for n in np.random.default_rng(k).integers(0, 100_000, 20)) for k in range(120)]
+    texts = [t + (" vilething" if k % 2 else " kindthing") for k, t in enumerate(plain)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, toxic int")
+    few, all_rows = (toxicity.fit_toxicity(docs, labels, F.lit(True), most=n, clean_ratio=1) for n in (4, 120))
+    found = lambda model: model.marginals(pa.array(["a vilething"]))[1].max(initial=0) >= 0.5
+    assert found(all_rows) and not found(few)
