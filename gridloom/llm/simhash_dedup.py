@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import materialise
+from .store import drop_table, materialise
 from .text import text_bytes, tidy
 
 SEED = 42
@@ -116,16 +116,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, F.col("fingerprint") == F.col("known"), "left").select("id", "fingerprint", "component_id")
 
 
-# Near copies by similarity, exactly. Shingles have one order for all texts, and two texts whose similarity is at least s share a shingle
-# among the first (1 - s) n + 1 of each: these, the prefixes, are dealt out by shingle. What holds for the first common shingle of a similar pair, that sizes and
-# places leave room for the overlap, prunes the pairs that meet; the rest is compared by all shingles. Any order is exact; one with frequent shingles last meets few.
+# Near copies by similarity, exactly. Fingerprints go first: texts whose fingerprints link are compared with one of their component. What fingerprints
+# don't reach, prefixes do. Shingles have one order for all texts, and two texts whose similarity is at least s share a shingle
+# among the first (1 - s) n + 1 of each: these, the prefixes, are dealt out by shingle. A pair that meets is passed over if sizes, places, or the bits
+# in which its bitmaps differ leave no room for the overlap: a bitmap has the parity of the shingles on each bit, so bitmaps never differ in more bits than
+# texts in shingles. Few others are left below s, and those are compared by all shingles. Any order is exact; one with frequent shingles last meets few.
 
 #: One document in so many is looked at for frequent shingles; a shingle that so many of those have is frequent; so many are known at most. These set costs, not results.
 SAMPLE, FREQUENT, MOST_FREQUENT = 8, 3, 1 << 18
 #: Size of the table of bits by which texts that nothing met are passed over, and texts to a batch.
 ASKED_BITS, TEXTS = 1 << 23, 256
-#: In the first round a bucket's members meet one of them only; there are so many ways to choose it.
-HEADS = 4
+#: A bitmap has two to four bits a shingle, at least and at most so many. These set costs, not results.
+LEAST_BITS, MOST_BITS = 64, 2048
+#: Pairs of a bucket that are looked at together, and buckets whose pairs are listed at once.
+BLOCK, LISTED = 1 << 17, 32
 _EPS = 1e-6
 
 
@@ -146,6 +150,46 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, count: np.ndarray, simila
     return shingles[np.lexsort((shingles, level))][: n - int(np.ceil(similarity * n - _EPS)) + 1]
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Parity of the shingles on each bit; the halves XORed are the bitmap of half as many bits."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(shingles) - 1).bit_length()))
+    odd = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _words(maps: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps of one length as a matrix of 64-bit words, folded to ``width`` of them."""
+    out = np.frombuffer(b"".join(maps.tolist()), "<u8").reshape(len(maps), -1)
+    while out.shape[1] > width:
+        half = out.shape[1] // 2
+        out = out[:, :half] ^ out[:, half:]
+    return out
+
+
+def differing_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits each pair of bitmaps differs: at most as many as there are shingles that one text alone has."""
+    wide_a, wide_b = (np.fromiter(map(len, x), np.int64, len(x)) // 8 for x in (a, b))
+    out = np.zeros(len(a), np.int64)
+    kind = wide_a * (MOST_BITS + 1) + wide_b
+    for k in np.unique(kind).tolist():
+        mine = np.flatnonzero(kind == k)
+        width = min(wide_a[mine[0]], wide_b[mine[0]])
+        out[mine] = np.bitwise_count(_words(a[mine], width) ^ _words(b[mine], width)).sum(1)
+    return out
+
+
+def most_differing(size_a, size_b, similarity: float):
+    """How many shingles one text alone may have in a pair of this similarity."""
+    return (1 - similarity) / (1 + similarity) * (size_a.astype(np.int64) + size_b) + _EPS
+
+
+def may_be_similar(size_a, place_a, size_b, place_b, similarity: float):
+    """False if texts of these sizes whose first common shingle is at these places can't have the similarity."""
+    room = 1 + np.minimum(size_a - place_a - 1, size_b - place_b - 1)
+    least = similarity / (1 + similarity) * (size_a.astype(np.int64) + size_b)
+    return (room >= least - _EPS) & (np.minimum(size_a, size_b) >= similarity * np.maximum(size_a, size_b) - _EPS)
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
         for k in range(0, batch.num_rows, TEXTS):
@@ -161,16 +205,25 @@ def _each_shingle(words: int):
     return run
 
 
-def _prefixes(words: int, similarity: float, shared):
+_ROWS = "id long, mark long, same long, size int, fingerprint long, bits binary, prefix array<long>"
+
+
+def _same(sets: list[bytes]) -> pa.Array:
+    """What texts with the same shingles share."""
+    return pa.array(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in sets), np.uint64, len(sets)).view(np.int64))
+
+
+def _described(words: int, similarity: float, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, count = shared.value
         for part, texts in _texts(batches):
             sets = [shingle_set(t, words) for t in texts]
-            same = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), np.uint64, len(sets)).view(np.int64)
             first = [prefix(x, frequent, count, similarity) for x in sets]
             ends = np.concatenate(([0], np.cumsum([len(x) for x in first])))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same), pa.array([len(x) for x in sets], pa.int32()), lists], names=["id", "same", "size", "prefix"])
+            prints = np.fromiter(map(majority, sets), np.uint64, len(sets)).view(np.int64)
+            columns = [part.column(0), part.column(2), _same([x.tobytes() for x in sets]), pa.array([len(x) for x in sets], pa.int32()), pa.array(prints), pa.array(map(bitmap, sets), pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _ROWS.split(", ")])
 
     return run
 
@@ -212,57 +265,94 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=["shingle", "same", "size", "place"])
 
 
-def may_be_similar(size_a, place_a, size_b, place_b, similarity: float):
-    """False if texts of these sizes whose first common shingle is at these places can't have the similarity."""
-    room = 1 + np.minimum(size_a - place_a - 1, size_b - place_b - 1)
-    least = similarity / (1 + similarity) * (size_a.astype(np.int64) + size_b)
-    return (room >= least - _EPS) & (np.minimum(size_a, size_b) >= similarity * np.maximum(size_a, size_b) - _EPS)
-
-
-def _pairs_batch(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["x", "y"])
-
+class _Forest:
+    """Which texts a task has linked for the time being."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def joins(self, a: int, b: int) -> bool:
+        """Links two texts; whether that joins what wasn't joined."""
+        a, b = self.root(a), self.root(b)
+        self.up[a] = b
+        return a != b
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+
+def _listed(first: np.ndarray, count: np.ndarray, listed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places in buckets of up to ``listed`` members, in blocks."""
+    for n in range(2, listed + 1):
+        begins = first[count == n]
+        x, y = np.triu_indices(n, 1)
+        step = max(1, BLOCK // len(x))
+        for k in range(0, len(begins), step):
+            at = begins[k : k + step, None]
+            yield (at + x).ravel(), (at + y).ravel()
+
+
+def _large(size: np.ndarray, place: np.ndarray, root: np.ndarray, bits: np.ndarray, similarity: float, spanning: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of one bucket that may be similar and aren't of one root; with ``spanning``, only such as join roots."""
+    by = np.argsort(size, kind="stable")
+    s, p, root = size[by], place[by], np.unique(root[by], return_inverse=True)[1]
+    wide = np.fromiter(map(len, bits[by]), np.int64, len(by)) // 8
+    tables = {}
+    last = np.searchsorted(s, s / similarity + _EPS, "right")
+    for i in range(len(by) - 1):
+        j = np.flatnonzero(root[i + 1 : last[i]] != root[i]) + i + 1
+        j = j[may_be_similar(s[j], p[j], s[i], p[i], similarity)]
+        if len(j):
+            if (w := int(wide[i])) not in tables:  # a similar text has as many bits, or twice as many
+                table = np.zeros((len(by), w), np.uint64)
+                for v in (w, 2 * w):
+                    if (wide == v).any():
+                        table[wide == v] = _words(bits[by][wide == v], w)
+                tables = {w: table}
+            j = j[np.bitwise_count(tables[w][j] ^ tables[w][i]).sum(1) <= most_differing(s[j], s[i], similarity)]
+        if len(j) and spanning:
+            roots, once = np.unique(root[j], return_index=True)
+            root[np.isin(root, roots)] = root[i]
+            j = j[once]
+        if len(j):
+            yield np.full(len(j), by[i]), by[j]
+
+
+def _meet(similarity: float, spanning: bool, listed: int):
+    """Pairs of texts that meet in a bucket, may be similar and have different roots.
+
+    With ``spanning`` a task passes over pairs that others of its pairs join already; without, none is passed over.
+    """
 
-def _meet_head(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, same, size, place in _groups(batches):
-            first, count = _bounds(shingle)
-            salt = (shingle.view(np.uint64) % np.uint64(HEADS) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            rank = (same.view(np.uint64) ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
-            head = np.repeat(np.lexsort((rank ^ (rank >> np.uint64(31)), shingle))[first], count)
-            some = (same != same[head]) & may_be_similar(size, place, size[head], place[head], similarity)
-            if some.any():
-                yield _pairs_batch(same[some], same[head][some])
+        forest = _Forest()
 
-    return run
-
-
-def _meet_all(similarity: float):
-    """All pairs of a bucket that are not of one component yet."""
+        def out(x, y):
+            if spanning:
+                keep = np.fromiter((forest.joins(a, b) for a, b in zip(x.tolist(), y.tolist(), strict=True)), bool, len(x))
+                x, y = x[keep], y[keep]
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["x", "y"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, same, size, place, root in _groups(batches):
+        for shingle, same, size, place, root, bits in _groups(batches):
             first, count = _bounds(shingle)
-            mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
-            xs, ys, held = [], [], 0
-            for a, n in zip(first[mixed].tolist(), count[mixed].tolist(), strict=True):
-                own = slice(a, a + n)
-                by = np.argsort(size[own], kind="stable") + a
-                s, p, r, t = size[by], place[by], root[by], same[by]
-                last = np.searchsorted(s, s / similarity + _EPS, "right")
-                for i in range(n - 1):
-                    j = slice(i + 1, int(last[i]))
-                    some = np.flatnonzero((r[j] != r[i]) & may_be_similar(s[j], p[j], s[i], p[i], similarity))
-                    if len(some):
-                        xs.append(np.full(len(some), t[i]))
-                        ys.append(t[j][some])
-                        held += len(some)
-                    if held > 1 << 18:
-                        yield _pairs_batch(np.concatenate(xs), np.concatenate(ys))
-                        xs, ys, held = [], [], 0
-            if held:
-                yield _pairs_batch(np.concatenate(xs), np.concatenate(ys))
+            for x, y in _listed(first, count, listed):
+                some = (root[x] != root[y]) & may_be_similar(size[x], place[x], size[y], place[y], similarity)
+                x, y = x[some], y[some]
+                some = differing_bits(bits[x], bits[y]) <= most_differing(size[x], size[y], similarity)
+                yield out(same[x[some]], same[y[some]])
+            for k in np.flatnonzero(count > listed).tolist():
+                own, held, n = slice(first[k], first[k] + count[k]), [], 0
+                for x, y in _large(size[own], place[own], root[own], bits[own], similarity, spanning):
+                    held.append((same[own][x], same[own][y]))
+                    n += len(x)
+                    if n > BLOCK:
+                        yield out(*map(np.concatenate, zip(*held, strict=True)))
+                        held, n = [], 0
+                if held:
+                    yield out(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
@@ -275,8 +365,7 @@ def _asked_sets(words: int, shared):
             asked = batch.filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
             for _, texts in _texts([asked]):
                 sets = [shingle_set(t, words).tobytes() for t in texts]
-                same = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in sets), np.uint64, len(sets)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(same), pa.array(sets, pa.binary())], names=["same", "shingles"])
+                yield pa.RecordBatch.from_arrays([_same(sets), pa.array(sets, pa.binary())], names=["same", "shingles"])
 
     return run
 
@@ -303,62 +392,94 @@ def frequent_shingles(docs: DataFrame, words: int = 5) -> tuple[np.ndarray, np.n
     return shingle[order], n[order]
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(id, component_id)`` for every row: components of texts whose shingles have this similarity, named by the smallest id.
+def fingerprint_stars(texts: DataFrame, radius: int = 2) -> DataFrame:
+    """``(x, y)``, x < y: of ``(same, fingerprint)``, each text with one of the texts whose fingerprints links reach."""
+    distinct = materialise(texts.groupBy("fingerprint").agg(F.min("same").alias("least")), "similar-prints")
+    up = connected_components(ball_links(distinct, radius), "a", "b")
+    rooted = materialise(distinct.join(up, F.col("fingerprint") == F.col("node"), "left").select(F.col("fingerprint").alias("of"), "least", F.coalesce("parent", "fingerprint").alias("root")), "similar-print-roots")
+    heads = rooted.groupBy("root").agg(F.min("least").alias("head"))
+    named = materialise(rooted.join(heads, "root").select("of", "head"), "similar-print-heads")
+    return texts.join(named, F.col("fingerprint") == F.col("of")).where(F.col("same") != F.col("head")).select(F.least("same", "head").alias("x"), F.greatest("same", "head").alias("y"))
 
-    Texts with the same shingles are one text here. In each bucket of a prefix shingle all meet one of them first; what is linked
-    then needn't meet again, all other pairs do. Every link is verified by all shingles. Rows without an id count as id -1.
-    """
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Every row as ``(id, mark, same)`` with a mark of its text, and ``(same, first_id, root)``: texts with the same shingles are one, those of a component have one root."""
     context = docs.sparkSession.sparkContext
-    used = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(text_col).alias("text"))
-    frequent = context.broadcast(frequent_shingles(used, words))  # bounded
-    rows = materialise(used.mapInArrow(tidy(_prefixes(words, similarity, frequent)), "id long, same long, size int, prefix array<long>"), "similar-rows")
-    texts = materialise(rows.groupBy("same").agg(F.min("id").alias("first_id")), "similar-classes")
+    used = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(text_col).alias("text"), text_mark(text_col).alias("mark"))
+    frequent = context.broadcast(frequent_shingles(used.select("id", "text"), words))  # bounded
+    rows = materialise(used.mapInArrow(tidy(_described(words, similarity, frequent)), _ROWS), "similar-rows")
+    texts = materialise(rows.groupBy("same").agg(F.min("id").alias("first_id"), F.first("fingerprint").alias("fingerprint"), F.first("bits").alias("bits")), "similar-classes")
     # One row stands for all with the same shingles: the one with the smallest id, or any of those that repeat it.
     known = rows.join(texts.select(F.col("same").alias("of"), "first_id").hint("merge"), (F.col("same") == F.col("of")) & (F.col("id") == F.col("first_id")), "left_semi").dropDuplicates(["same"])
     by_shingle = lambda table: table.repartition("shingle").sortWithinPartitions("shingle")
     postings = known.select("same", "size", F.posexplode("prefix").alias("place", "shingle")).select("shingle", "same", "size", "place")
     shared = materialise(by_shingle(postings).mapInArrow(tidy(_shared), _POSTINGS), "similar-shared")
+    mapped = texts.select(F.col("same").alias("of"), "bits").hint("merge")
 
-    # Only texts in a bucket are read again. A table of bits of fixed size passes over nearly all others.
-    asked = texts.join(shared.select(F.col("same").alias("of")).distinct().hint("merge"), F.col("same") == F.col("of"), "left_semi")
-    place = F.pmod(F.xxhash64(F.col("first_id")), F.lit(ASKED_BITS))
-    found = asked.select(place.alias("h")).groupBy(F.expr("h div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("b")).toArrow()
-    bits = np.zeros(ASKED_BITS // 64, np.int64)
-    bits[found.column("w").to_numpy()] = found.column("b").to_numpy()
-    again = used.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(ASKED_BITS)).alias("h"))
-    sets = materialise(again.mapInArrow(tidy(_asked_sets(words, context.broadcast(bits))), "same long, shingles binary").dropDuplicates(["same"]), "similar-sets")
-    first, second = sets.select(F.col("same").alias("x"), F.col("shingles").alias("sx")), sets.select(F.col("same").alias("y"), F.col("shingles").alias("sy"))
+    def meeting(up: DataFrame | None) -> DataFrame:
+        """The pairs that meet; with ``up``, all that aren't of one component of it."""
+        root = F.col("same") if up is None else F.coalesce("parent", "same")
+        rooted = shared if up is None else shared.join(up.hint("merge"), F.col("same") == F.col("node"), "left")
+        held = rooted.withColumn("root", root).join(mapped, F.col("same") == F.col("of")).select("shingle", "same", "size", "place", "root", "bits")
+        return by_shingle(held).mapInArrow(tidy(_meet(similarity, up is None, LISTED)), "x long, y long").distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar. Only their texts are read again; a table of bits of fixed size passes over nearly all others."""
+        asked = texts.join(pairs.select(F.explode(F.array("x", "y")).alias("of")).distinct().hint("merge"), F.col("same") == F.col("of"), "left_semi")
+        place = F.pmod(F.xxhash64(F.col("first_id")), F.lit(ASKED_BITS))
+        found = asked.select(place.alias("h")).groupBy(F.expr("h div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("b")).toArrow()
+        bits = np.zeros(ASKED_BITS // 64, np.int64)
+        bits[found.column("w").to_numpy()] = found.column("b").to_numpy()
+        again = used.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(ASKED_BITS)).alias("h"))
+        sets = materialise(again.mapInArrow(tidy(_asked_sets(words, context.broadcast(bits))), "same long, shingles binary").dropDuplicates(["same"]), "similar-sets")
         # What grows with the documents isn't broadcast, whatever its size just now.
-        both = pairs.join(first.hint("merge"), "x").join(second.hint("merge"), "y").select("x", "y", "sx", "sy")
-        return materialise(both.mapInArrow(tidy(_verify(similarity)), "x long, y long"), "similar-links")
-
-    heads = materialise(by_shingle(shared).mapInArrow(tidy(_meet_head(similarity)), "x long, y long").distinct(), "similar-heads")
-    links = verified(heads)
-    up = connected_components(links, "x", "y")
-    labelled = shared.join(up.hint("merge"), F.col("same") == F.col("node"), "left").select("shingle", "same", "size", "place", F.coalesce("parent", "same").alias("root"))
-    others = by_shingle(labelled).mapInArrow(tidy(_meet_all(similarity)), "x long, y long").distinct().join(heads.hint("merge"), ["x", "y"], "left_anti")
-    more = verified(materialise(others, "similar-others"))
-    if not more.isEmpty():
+        both = pairs.join(sets.select(F.col("same").alias("x"), F.col("shingles").alias("sx")).hint("merge"), "x").join(sets.select(F.col("same").alias("y"), F.col("shingles").alias("sy")).hint("merge"), "y")
+        links = materialise(both.select("x", "y", "sx", "sy").mapInArrow(tidy(_verify(similarity)), "x long, y long"), "similar-links")
+        drop_table(sets)
+        return links
+
+    first = materialise(fingerprint_stars(texts).unionByName(meeting(None)).distinct(), "similar-first")
+    up = connected_components(verified(first), "x", "y")
+    others = materialise(meeting(up).join(first.hint("merge"), ["x", "y"], "left_anti"), "similar-others")
+    if not others.isEmpty():
+        more = verified(others)
         up = connected_components(up.select(F.col("node").alias("x"), F.col("parent").alias("y")).unionByName(more), "x", "y")
-    rooted = materialise(texts.join(up, F.col("same") == F.col("node"), "left").select("same", "first_id", F.coalesce("parent", "same").alias("root")), "similar-rooted")
+    rooted = texts.join(up, F.col("same") == F.col("node"), "left").select(F.col("same").alias("known"), "first_id", F.coalesce("parent", "same").alias("root"))
+    return rows.select("id", "mark", "same"), materialise(rooted, "similar-rooted")
+
+
+def text_mark(text_col: str) -> F.Column:
+    """64 bits that tell the texts under one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(id, component_id)`` for every row: components of texts whose shingles have this similarity, named by the smallest id.
+
+    Texts with the same shingles are one text here, texts without words among them. First a spanning choice of the pairs that meet is compared,
+    then every other pair that no links connect: no pair of this similarity is lost. Rows without an id count as id -1; no rows give no rows.
+    """
+    rows, rooted = _classes(docs, id_col, text_col, words, similarity)
     named = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "similar-named")
-    classes = rooted.join(named, "root").select(F.col("same").alias("known"), "component_id")
-    return rows.select("id", "same").join(classes, F.col("same") == F.col("known"), "left").select("id", "component_id")
+    classes = rooted.join(named, "root").select("known", "component_id")
+    return rows.join(classes, F.col("same") == F.col("known"), "left").select("id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay when of each group of near copies the row with the smallest id does.
 
-    Rows that repeat that id in one group are one document: one of them stays. Rows without an id all stay.
+    Groups are of rows, not of ids: different texts under one id are each judged by their own group, and of several texts under the smallest id of a
+    group one stays. Of rows that repeat in id and text one stays. Rows without an id all stay; no rows give no rows; columns may have any names.
     """
-    found = similar_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, similarity)
-    total = materialise(found.where(F.col("id") == F.col("component_id")).groupBy(F.col("id").alias("__kept")).agg(F.count(F.lit(1)).alias("n")), "near-kept")
-    stays = docs.join(total.hint("merge"), F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
-    if not total.where("n > 1").isEmpty():
-        stays = stays.dropDuplicates([id_col])
+    rows, rooted = _classes(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, similarity)
+    each = rows.join(rooted.select("known", "root"), F.col("same") == F.col("known")).groupBy("root")
+    kept = materialise(each.agg(F.min(F.struct("id", "mark")).alias("k")).select("k.*"), "near-kept")
+    # Rows travel as one column, so that their names can't clash with those here.
+    tagged = docs.where(F.col(id_col).isNotNull()).select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), text_mark(text_col).alias("mark"))
+    if not rows.groupBy("id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        tagged = tagged.dropDuplicates(["id", "mark"])  # map tasks collapse what they hold
+    # Both sides grow with the documents: neither may be broadcast, whatever its size just now.
+    stays = tagged.join(kept.hint("merge"), ["id", "mark"], "left_semi").select("row.*")
     return stays.unionByName(docs.where(F.col(id_col).isNull()))
 
 

@@ -89,6 +89,43 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == Counter([*range(30), 300, None])
 
 
+def test_near_copies_are_judged_by_row_and_not_by_id(spark):
+    words = [f"w{k}" for k in range(400)]
+    a, b = " ".join(words[:200]), " ".join(words[200:])
+    copy = a.replace("w50 ", "changed ")
+    kept = lambda rows: Counter((r["doc_id"], r["text"]) for r in simhash_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept([(1, a), (1, b)]) == Counter([(1, a), (1, b)])
+    assert kept([(3, a), (5, copy), (5, b)]) == Counter([(3, a), (5, b)])
+    assert kept([(5, copy), (5, b), (5, b), (7, a), (8, b)]) == Counter([(5, copy), (5, b)])
+    assert sum(kept([(5, copy), (5, a)]).values()) == 1
+
+
+def test_bitmaps_never_differ_in_more_bits_than_texts_in_shingles():
+    rng = np.random.default_rng(14)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (0, 1, 2, 30, 33, 60, 140, 600, 1500, 3000)]
+    sets += [np.unique(np.concatenate([x[: len(x) - len(x) // 9], rng.integers(0, 1 << 63, k).astype(np.uint64)])) for x in sets for k in (0, 3, 40)]
+    maps = np.array([simhash_dedup.bitmap(x) for x in sets], object)
+    x, y = np.triu_indices(len(sets), 1)
+    apart = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(x, y, strict=True)])
+    assert (simhash_dedup.differing_bits(maps[x], maps[y]) <= apart).all()
+
+
+@pytest.mark.parametrize("listed", [1, 32])
+def test_large_buckets_of_near_copies_equal_brute_force(spark, listed, monkeypatch):
+    """Copies of one text at 0.4 to 1, which share nearly all buckets, by the paths for small and for large buckets."""
+    monkeypatch.setattr(simhash_dedup, "LISTED", listed)
+    rng = np.random.default_rng(15)
+    base = [f"g{k}" for k in range(120)]
+    texts = []
+    for k in range(160):
+        words = list(base)
+        for at in rng.integers(0, 120, rng.integers(0, 9)):
+            words[at] = f"x{k}-{at}"
+        texts.append(" ".join(words))
+    right, linked = similar_to_brute_force(spark, texts)
+    assert right and linked > 400
+
+
 def test_similar_groups_equal_brute_force(docs, rows):
     found = {r["id"]: r["component_id"] for r in simhash_dedup.similar_groups(docs).collect()}
     sets = {r["doc_id"]: frozenset(simhash_dedup.shingle_hashes((r["text"] or "").encode(), 5).tolist()) for r in rows}
