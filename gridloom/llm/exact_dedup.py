@@ -6,7 +6,7 @@ Keys are XXH64 of the remaining bytes. (1) A scan writes each row's key and dige
 than its capacity; it is built from counts by key prefix, never from keys, and is
 a sorted list of range starts. (3) Map tasks collapse the copies they hold,
 comparing bytes, so a text that fills a third of the table leaves each task once a
-buffer; what is left goes to the owner of its key range. (4) An owner
+buffer; what is left goes to the owner of its key range, copies of hot keys by way of a few tasks that merge them. (4) An owner
 walks its range in key order, chains different texts under one key, merges equal ones by
 comparing bytes, and writes its part of the index to the shared folder. (5) Rows
 look up their entry by key and digest; a popular entry is a skewed join of two
@@ -21,14 +21,13 @@ table gives no rows; other columns don't matter to what stays.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialise
@@ -40,8 +39,12 @@ CAPACITY = 1 << 13
 MAX_BUCKETS = 1 << 20
 #: Bytes of texts that a map task holds to collapse copies before it sends them on.
 BUFFER_BYTES = 48 << 20
-#: Bits by which counts of overfull prefixes are refined at a time.
-STEP = 12
+#: Bits by which counts of overfull prefixes are refined at a time, and the deepest prefix.
+STEP, DEEPEST = 12, 63
+#: A key of so many rows is hot, or of one row in so many where that is more, so that hot keys are few: 8 bytes each in the broadcast.
+HOT_ROWS, HOT_SHARE = 1000, 10_000
+#: Tasks that merge a hot key's copies before its owner does.
+SALTS = 16
 NO_ID = (1 << 63) - 1
 _OFFSET = 1 << 63
 
@@ -65,39 +68,37 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _prefix(depth: int) -> F.Column:
+    """The first ``depth`` bits of the unsigned key."""
+    return F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-_OFFSET)), 64 - depth)
+
+
 def extendible_directory(keys: DataFrame, capacity: int = CAPACITY, max_buckets: int = MAX_BUCKETS) -> list[int]:
     """First key of each bucket, ascending, as unsigned numbers.
 
     A bucket of local depth d holds the keys of one d-bit prefix; one with more distinct keys than
-    ``capacity`` is split in two, which doubles the directory where it was as deep as the directory. Only counts
-    by prefix come to the driver, at most ``2 ** STEP`` for each bucket that is still overfull.
+    ``capacity`` is split in two, which doubles the directory where it was as deep as the directory. Counts by prefix are tables: a
+    prefix is a bucket if it fits and the one above it doesn't. Only the starts of buckets come to the driver.
     """
-    distinct = keys.select("key").distinct()
-    full, starts, depth = [0], [], 0
-    while full:
-        deeper = min(64, depth + STEP)
-        prefix = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-_OFFSET)), 64 - deeper)
-        counted = distinct.select(prefix.alias("p"))
-        if depth:
-            above = keys.sparkSession.createDataFrame([(p,) for p in full], "above long")
-            counted = counted.join(above, F.shiftrightunsigned("p", deeper - depth) == F.col("above"), "left_semi")
-        counts = {r["p"]: r["n"] for r in counted.groupBy("p").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-        known = sorted(counts)
-        total = np.concatenate(([0], np.cumsum([counts[p] for p in known], dtype=np.int64)))
-        size = lambda p, d: int(total[bisect_right(known, ((p + 1) << (deeper - d)) - 1)] - total[bisect_right(known, (p << (deeper - d)) - 1)])
-        overfull, todo = [], [(p, depth) for p in full]
-        while todo:
-            p, d = todo.pop()
-            if size(p, d) <= capacity or d == 64:
-                starts.append(p << (64 - d))
-            elif d == deeper:
-                overfull.append(p)
-            else:
-                todo += [(2 * p, d + 1), (2 * p + 1, d + 1)]
-        full, depth = overfull, deeper
-        if len(starts) + len(full) > max_buckets:
-            return extendible_directory(keys, 2 * capacity, max_buckets)
-    return sorted(starts)
+    distinct = materialise(keys.select("key").distinct(), "dedup-distinct")
+    total = distinct.count()
+    while total > capacity * max_buckets // 2:
+        capacity *= 2
+    starts, top, inside = [], 0, distinct
+    while True:
+        expected = (total // capacity).bit_length() + 3 if top == 0 else top + STEP
+        depth = min(DEEPEST, max(top + 1, expected))
+        counted = inside.groupBy(_prefix(depth).alias("leaf")).agg(F.count(F.lit(1)).alias("m"))
+        each = counted.select("m", F.explode(F.sequence(F.lit(top), F.lit(depth))).alias("d"), "leaf")
+        nodes = materialise(each.groupBy("d", F.expr(f"shiftrightunsigned(leaf, {depth} - d)").alias("p")).agg(F.sum("m").alias("n")), "dedup-prefixes")
+        above = nodes.where(F.col("n") > capacity).select((F.col("d") + 1).alias("d"), F.col("p").alias("above"))
+        fits = nodes.where((F.col("n") <= capacity) | (F.col("d") == DEEPEST)).withColumn("above", F.shiftrightunsigned("p", 1))
+        buckets = fits.where((F.col("d") > 0) & (F.col("d") > top)).join(above, ["d", "above"], "left_semi").unionByName(fits.where("d = 0"))
+        starts += [r["p"] << (64 - r["d"]) for r in buckets.select("p", "d").toLocalIterator()]
+        overfull = nodes.where((F.col("d") == depth) & (F.col("n") > capacity)).select(F.col("p").alias("over"))
+        if depth == DEEPEST or overfull.isEmpty():
+            return [0, *sorted(starts)[1:]]
+        inside, top = distinct.join(overfull, _prefix(depth) == F.col("over"), "left_semi"), depth
 
 
 class _Entry:
@@ -130,7 +131,8 @@ _INDEX = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("chain", pa.in
 _sql = lambda schema: ", ".join(f"{f.name} {({pa.int32(): 'int', pa.int64(): 'long', pa.binary(): 'binary'})[f.type]}" for f in schema)
 
 
-def _collapse(starts: list[int]):
+def _collapse(starts: list[int], hot: frozenset[int] = frozenset(), only: bool = False):
+    """Copies that a task holds become one; of the rows with a hot key, or with ``only`` of no others."""
     first = np.array(starts, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +148,8 @@ def _collapse(starts: list[int]):
             chars = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
             for id_, n, text in zip(batch.column(0).to_pylist(), chars, text_bytes(batch.column(1)), strict=True):
                 normal = normalise(text)
-                if _insert(table, key_of(normal), _Entry(normal, (-n, NO_ID if id_ is None else id_))):
+                key = key_of(normal)
+                if (key in hot) is only and _insert(table, key, _Entry(normal, (-n, NO_ID if id_ is None else id_))):
                     held += len(normal)
                 if held >= BUFFER_BYTES:
                     yield from batches_of(rows(table), _HEADS, 1024)
@@ -156,31 +159,39 @@ def _collapse(starts: list[int]):
     return run
 
 
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """An owner's part of the index. Rows come in key order; only the chain of one key is held."""
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[_Entry]]]:
+    """Bucket, key and different texts of rows in key order; only the chain of one key is held."""
+    at, table = None, {}
+    for batch in batches:
+        for bucket, key, normal, n, minus, id_, same in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if at is not None and key != at[1]:
+                yield *at, table.pop(at[1])
+            at = bucket, key
+            _insert(table, key, _Entry(normal, (minus, id_), n, same))
+    if at is not None:
+        yield *at, table[at[1]]
 
-    def entries(bucket: int, key: int, chain: list[_Entry]):
-        for c, x in enumerate(chain):
-            yield bucket, key, c, hashlib.sha256(x.normal).digest(), x.rows, -x.best[0], x.best[1], x.same
 
-    def rows():
-        at, table = None, {}
-        for batch in batches:
-            for bucket, key, normal, n, minus, id_, same in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if at is not None and key != at[1]:
-                    yield from entries(*at, table.pop(at[1]))
-                at = bucket, key
-                _insert(table, key, _Entry(normal, (minus, id_), n, same))
-        if at is not None:
-            yield from entries(*at, table[at[1]])
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some tasks' copies of a hot key as one."""
+    yield from batches_of(((b, k, x.normal, x.rows, x.best[0], x.best[1], x.same) for b, k, chain in _chains(batches) for x in chain), _HEADS, 1024)
 
-    yield from batches_of(rows(), _INDEX)
+
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An owner's part of the index."""
+    yield from batches_of(((b, k, c, hashlib.sha256(x.normal).digest(), x.rows, -x.best[0], x.best[1], x.same) for b, k, chain in _chains(batches) for c, x in enumerate(chain)), _INDEX)
 
 
-def build_index(docs: DataFrame, keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def build_index(docs: DataFrame, keys: DataFrame, capacity: int = CAPACITY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The index over ``id, text`` as a table in the shared folder, one row for each different text."""
     starts = extendible_directory(keys, capacity)
-    heads = docs.mapInArrow(tidy(_collapse(starts)), _sql(_HEADS))
+    least = max(hot_rows, -(-keys.count() // HOT_SHARE))
+    hot = frozenset(r["key"] for r in keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("key").toLocalIterator())
+    heads = docs.mapInArrow(tidy(_collapse(starts, hot)), _sql(_HEADS))
+    if hot:  # each task has a copy of these: a few tasks merge them for the owner
+        salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
+        dealt = docs.mapInArrow(tidy(_collapse(starts, hot, only=True)), _sql(_HEADS)).withColumn("salt", salt).repartition("key", "salt")
+        heads = heads.unionByName(dealt.sortWithinPartitions("key").drop("salt").mapInArrow(tidy(_merge), _sql(_HEADS)))
     owned = heads.repartition(max(1, min(len(starts), 1 << 16)), "bucket").sortWithinPartitions("bucket", "key")
     return materialise(owned.mapInArrow(tidy(_own), _sql(_INDEX)), "hash-index")
 
@@ -209,17 +220,20 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that repeat in id and text one stays."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
+
+    Of equal texts the longest original stays, then the smallest id, null last, also where equal texts share an id; of rows that are alike in
+    all of these, one. A null text is empty; no rows give no rows.
+    """
     found, repeats = _found(docs, id_col, text_col, capacity)
-    kept = found.where("kept").select(F.col("id").alias("__id"), F.col("sha").alias("__sha")).distinct()
+    kept = found.where("kept").select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "sha", "chars").distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    tagged = docs.withColumn("__of", F.unhex(F.sha2(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", ""), 256)))
+    sha = F.unhex(F.sha2(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", ""), 256))
+    tagged = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), sha.alias("sha"), F.char_length(text).cast("long").alias("chars"))
+    if repeats:  # map tasks collapse what they hold
+        tagged = tagged.dropDuplicates(["id", "sha", "chars"])
     # Both sides grow with the documents: neither may be broadcast, whatever its size just now.
-    stays = tagged.join(kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__sha")), "left_semi")
-    if repeats:  # an id may repeat with texts that differ in white space: the longest of them stays
-        order = Window.partitionBy(id_col, "__of").orderBy(F.char_length(text).desc())
-        stays = stays.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return stays.drop("__of")
+    return tagged.join(kept.hint("merge"), ["id", "sha", "chars"], "left_semi").select("row.*")
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
