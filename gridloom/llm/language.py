@@ -35,8 +35,8 @@ UNKNOWN = "und"
 KEPT = 400_000
 #: Documents that are ranked at a time, and bytes of text that are cut at a time.
 ROWS, CHUNK_BYTES = 128, 2 << 20
-#: Largest table of n-gram numbers that is looked up directly; beyond it numbers are sorted.
-DIRECT = 1 << 23
+#: Largest table of n-gram numbers that is looked up directly, and largest table of counts by text; beyond them numbers are sorted.
+DIRECT, CELLS = 1 << 23, 1 << 22
 
 
 def _distinct(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,6 +51,12 @@ def _distinct(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return used, to[values]
 
 
+def _counted(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different values below ``most``, ascending, and how often each is there."""
+    table = np.bincount(values, minlength=most) if most else np.empty(0, np.int64)
+    return np.flatnonzero(table), table[table > 0]
+
+
 class Grams:
     """Every occurrence of an n-gram in some texts, as its text's ``row`` and its place in ``numbers``.
 
@@ -77,10 +83,11 @@ class Grams:
         self.row = np.concatenate([row[one], np.where(inner[two + 1], row[two + 1], row[two]), row[three + 1]])
         self.numbers, self.place = _distinct(number, base**3)
 
-    def strings(self) -> list[str]:
+    def strings(self, places: np.ndarray | None = None) -> list[str]:
+        """The n-grams at these places of ``numbers``, or all."""
         signs, b = self.signs, self.base
         name = lambda k: signs[k - 1] if k else ""
-        return [name(n // (b * b)) + name(n // b % b) + name(n % b) for n in self.numbers.tolist()]
+        return [name(n // (b * b)) + name(n // b % b) + name(n % b) for n in (self.numbers if places is None else self.numbers[places]).tolist()]
 
     def find(self, grams: list[str]) -> np.ndarray:
         """The place of each n-gram among ``numbers``, or -1."""
@@ -98,23 +105,33 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], int] = defaultdict(int)
 
+        def batch_of(langs, grams, counts):
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
+
         def out():
             rows = list(held.items())
+            held.clear()
             for k in range(0, len(rows), 1 << 15):
                 part = rows[k : k + (1 << 15)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0][0] for x in part], pa.string()), pa.array([x[0][1] for x in part], pa.string()), pa.array([x[1] for x in part], pa.int64())], names=["lang", "gram", "n"])
-            held.clear()
+                yield batch_of([x[0][0] for x in part], [x[0][1] for x in part], [x[1] for x in part])
 
         for batch in batches:
             for part in chunks(batch, CHUNK_BYTES):
                 langs, of = np.unique(np.array(part.column(0).to_pylist(), object), return_inverse=True)
                 grams = Grams(part.column(1).to_pylist())
-                width, names = len(grams.numbers), grams.strings()
-                total = np.bincount(of[grams.row] * width + grams.place, minlength=len(langs) * width) if width else np.empty(0, np.int64)
-                for k in np.flatnonzero(total).tolist():
-                    held[langs[k // width], names[k % width]] += int(total[k])
-            if len(held) > KEPT:
-                yield from out()
+                width = len(grams.numbers)
+                pair, total = np.unique(of[grams.row] * width + grams.place, return_counts=True) if width > DIRECT // 8 else _counted(of[grams.row] * width + grams.place, len(langs) * width)
+                many = len(pair) > KEPT // 4  # so many different ones hardly repeat: they go on as they are
+                for a in range(0, len(pair), 1 << 15):
+                    mine = pair[a : a + (1 << 15)]
+                    names, who, n = grams.strings(mine % width), langs[mine // width], total[a : a + (1 << 15)].tolist()
+                    if many:
+                        yield batch_of(who, names, n)
+                    else:
+                        for lang, name, k in zip(who.tolist(), names, n, strict=True):
+                            held[lang, name] += k
+                if len(held) > KEPT:
+                    yield from out()
         yield from out()
 
     counted = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "lang string, gram string, n long")
@@ -149,24 +166,42 @@ class LanguageModel:
             order = np.argsort(grams.row, kind="stable")
             row, place = grams.row[order].astype(np.int64), grams.place[order]
             edges = np.searchsorted(row, np.arange(0, n + ROWS, ROWS))
-            take = min(top, width)
+            dense = ROWS * width <= CELLS
             for b in range(0, n, ROWS):
                 rows, a, z = min(ROWS, n - b), edges[b // ROWS], edges[b // ROWS + 1]
-                table = np.bincount((row[a:z] - b) * width + place[a:z], minlength=rows * width).reshape(rows, width)
-                # Larger counts first, then the smaller place: keys are all distinct, so what is selected is definite.
-                key = table * width - np.arange(width)
-                best = np.argpartition(key, width - take, axis=1)[:, width - take :]
-                best = np.take_along_axis(best, np.argsort(-np.take_along_axis(key, best, 1), axis=1), 1)
-                held = np.take_along_axis(table, best, 1) > 0
-                theirs = rank[:, best]  # language, text, rank in the text
-                apart = np.where(theirs < 0, top, np.minimum(np.abs(theirs - np.arange(take)), top))
-                distance[:, b : b + rows] = np.where(held, apart, 0).sum(2)
-                number[b : b + rows] = held.sum(1)
+                of, at, gram = (self._best_of_table if dense else self._best_of_pairs)((row[a:z] - b) * width + place[a:z], rows, width)
+                theirs = rank[:, gram]
+                apart = np.where(theirs < 0, top, np.minimum(np.abs(theirs - at), top))
+                for k, each in enumerate(apart):
+                    distance[k, b : b + rows] = np.bincount(of, each, rows).astype(np.int64)
+                number[b : b + rows] = np.bincount(of, minlength=rows)
         known = number > 0
         near = distance.argmin(0) if self.langs else np.zeros(n, np.int64)
         score = np.where(known, 1 - distance.min(0, initial=top * top) / np.maximum(number * top, 1), 0.0)
         return [self.langs[k] if x else UNKNOWN for k, x in zip(near.tolist(), known.tolist(), strict=True)], score
 
+    # Text, rank and n-gram of each text's most frequent ones: larger counts first, then the smaller place. ``pairs`` are text times width plus place.
+
+    def _best_of_table(self, pairs: np.ndarray, rows: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From a count of every n-gram in every text: for few n-grams."""
+        take = min(self.top, width)
+        table = np.bincount(pairs, minlength=rows * width).reshape(rows, width)
+        key = table * width - np.arange(width)  # all distinct, so what is selected is definite
+        best = np.argpartition(key, width - take, axis=1)[:, width - take :]
+        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(key, best, 1), axis=1), 1)
+        of, at = np.nonzero(np.take_along_axis(table, best, 1))
+        return of, at, best[of, at]
+
+    def _best_of_pairs(self, pairs: np.ndarray, rows: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From the n-grams that are there: memory follows the texts, however many n-grams there are."""
+        pair, count = np.unique(pairs, return_counts=True)
+        of, gram = pair // width, pair % width
+        order = np.lexsort((gram, -count, of))
+        of, gram = of[order], gram[order]
+        at = np.arange(len(of)) - np.searchsorted(of, np.arange(rows))[of]
+        keep = at < self.top
+        return of[keep], at[keep], gram[keep]
+
 
 def with_language(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "text", keep: list[str] | None = None, top: int = TOP) -> DataFrame:
     """``docs``, or its columns ``keep``, with ``lang_pred`` and ``score``, which replace columns of those names."""
