@@ -51,6 +51,7 @@ _PLACEHOLDER = r"(?i:example|placeholder|changeme|xxxxxx|your[_-]?(?:key|token|s
 ALLOWED = rf"^(?:{_NO_WORD}[A-Za-z_/+-]*(?:{_PLACEHOLDER}[A-Za-z_/+-]*)?|[0-9_/+-]*|[0-9A-Fa-f]{{8}}-(?:[0-9A-Fa-f]{{4}}-){{3}}[0-9A-Fa-f]{{12}}|(.)\1*|(?i:(?:(?:0?123456789|abcdef(?:ghij(?:klmnopqrstuvwxyz)?)?)[_/+-]*)+))$"
 
 _SPAN = "array<struct<start: int, end: int, m: string>>"
+_PLACED = "array<struct<start: int, place: int, end: int, kind: string>>"
 
 
 def _quoted(pattern: str) -> str:
@@ -69,17 +70,29 @@ def _split_quotes(pattern: str) -> list[str]:
     return parts
 
 
+#: Elements of an array that are folded at a time; what is put out for each is appended to an array of so many at most.
+PART = 128
+
+
+def _folded(items: str, zero: str, kind: str, step, put, of: str) -> str:
+    """What ``put(z, e)`` gives, as arrays of ``of``, for each element e of ``items`` in order, z being ``zero`` after ``step(z, e)`` of all before.
+
+    In parts, each begun with what the parts before come to: appending to one long array copies it every time.
+    """
+    part = f"slice(a, k * {PART} + 1, {PART})"
+    return f"""
+      transform(array({items}), a -> flatten(transform(
+        aggregate(sequence(0, cast((size(a) - 1) div {PART} as int)), named_struct('z', {zero}, 'o', cast(array() as array<{kind}>)),
+          (s, k) -> named_struct('z', aggregate({part}, s.z, (z, e) -> {step("z", "e")}), 'o', concat(s.o, array(s.z))), s -> s.o),
+        (before, k) -> aggregate({part}, named_struct('z', before, 'o', cast(array() as {of})),
+          (s, e) -> named_struct('z', {step("s.z", "e")}, 'o', concat(s.o, {put("s.z", "e")})), s -> s.o))))[0]"""
+
+
 def _matches(text: str, pattern: str) -> str:
     p = _quoted(pattern)
-    return f"""
-      case when {text} rlike {p} then
-        transform(array(named_struct('p', split({text}, {p}, -1), 'm', regexp_extract_all({text}, {p}, 0))), x ->
-          aggregate(sequence(0, size(x.m) - 1), named_struct('at', 0, 's', cast(array() as {_SPAN})),
-            (z, i) -> named_struct(
-              'at', z.at + length(x.p[i]) + length(x.m[i]),
-              's', concat(z.s, array(named_struct('start', z.at + length(x.p[i]), 'end', z.at + length(x.p[i]) + length(x.m[i]), 'm', x.m[i])))),
-            z -> z.s))[0]
-      else cast(array() as {_SPAN}) end"""
+    pieces = f"transform(array(named_struct('p', split({text}, {p}, -1), 'm', regexp_extract_all({text}, {p}, 0))), x -> transform(x.m, (y, i) -> named_struct('gap', length(x.p[i]), 'm', y)))[0]"
+    places = _folded(pieces, "0", "int", lambda z, e: f"{z} + {e}.gap + length({e}.m)", lambda z, e: f"array(named_struct('start', {z} + {e}.gap, 'end', {z} + {e}.gap + length({e}.m), 'm', {e}.m))", _SPAN)
+    return f"case when {text} rlike {p} then {places} else cast(array() as {_SPAN}) end"
 
 
 def base_spans(text: str, pattern: str, group: int, least: int) -> F.Column:
@@ -113,12 +126,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = out.select("id", *(base_spans("__text", p, g, n).alias(k) for k, p, g, n in BASE), *(entropy_spans("__text", e).alias(e.kind) for e in entropy))
     as_span = lambda kind, place: F.transform(kind, lambda x: F.struct(x["start"].alias("start"), F.lit(place).alias("place"), x["end"].alias("end"), F.lit(kind).alias("kind")))
     out = out.withColumn("base", F.array_sort(F.concat(*(as_span(k, i) for i, (k, *_) in enumerate(BASE)))))
-    spans = "base"
-    for i, e in enumerate(entropy, len(BASE)):
-        inside = lambda x, held=spans: F.exists(held, lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]))
-        out = out.withColumn(f"s{i}", F.concat(spans, F.filter(as_span(e.kind, i), lambda x: ~inside(x))))
-        spans = f"s{i}"
-    return out.select("id", *(k for k, *_ in BASE), "base", F.array_sort(spans).alias("spans"))
+    # In order, a span lies within one of an earlier kind if the furthest end of those kinds so far is no less than its own.
+    every = F.array_sort(F.concat("base", *(as_span(e.kind, i) for i, e in enumerate(entropy, len(BASE)))))
+    furthest = lambda z, e: f"transform({z}, (v, i) -> if(i >= {e}.place, greatest(v, {e}.end), v))"
+    kept = lambda z, e: f"if({e}.place < {len(BASE)} or {z}[{e}.place - 1] < {e}.end, array({e}), cast(array() as {_PLACED}))"
+    spans = F.expr(_folded("every", f"array_repeat(0, {len(BASE) + len(entropy)})", "array<int>", furthest, kept, _PLACED))
+    return out.withColumn("every", every).select("id", *(k for k, *_ in BASE), "base", spans.alias("spans"))
 
 
 def written(spans: str) -> F.Column:
