@@ -6,7 +6,7 @@ text, and numeric metadata columns. The score is the logistic of
     w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2),
 
 so all pairwise interactions of rank ``RANK`` cost one pass over the inputs that aren't zero. It is fitted by
-AdaGrad on the driver from at most ``MAX_TRAIN`` labelled rows, those with the smallest hash of their id; scoring is
+AdaGrad on the driver from at most ``MAX_TRAIN`` labelled rows, those with the smallest hash of their id, whose texts have ``MAX_TRAIN_BYTES`` together at most; scoring is
 one pass over whole texts with a model of fixed size.
 
 Cases: a null or empty text has no words and zero statistics, and gets a score like any other; a null label is not
@@ -32,8 +32,8 @@ from .text import compact, tidy, words_of
 
 BUCKETS = 1 << 15
 RANK = 8
-#: Labelled rows that the model is fitted from, at most.
-MAX_TRAIN = 4096
+#: Labelled rows that the model is fitted from, at most, and bytes of their texts.
+MAX_TRAIN, MAX_TRAIN_BYTES = 4096, 64 << 20
 EPOCHS = 10
 BATCH = 128
 RATE = 0.08
@@ -183,15 +183,27 @@ def _metadata(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
     return np.nan_to_num(np.column_stack([pc.fill_null(batch.column(c).cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False) for c in columns]), posinf=0, neginf=0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: F.Column, columns: list[str], id_col: str = "doc_id", most: int = MAX_TRAIN) -> pa.Table:
-    """At most ``most`` labelled rows that fulfil ``learn``, those whose ids have the smallest hashes, sorted by it."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: F.Column, columns: list[str], id_col: str = "doc_id", most: int = MAX_TRAIN, most_bytes: int = MAX_TRAIN_BYTES) -> pa.Table:
+    """At most ``most`` labelled rows that fulfil ``learn``, those whose ids have the smallest hashes, sorted by it.
+
+    ``columns`` begin with the text. Rows that repeat in id and text count once. Rows are taken whole, in order, as long as their texts have ``most_bytes`` together; one
+    that would exceed them is passed over. Which rows these are is settled by numbers alone, before any text is fetched.
+    """
     known = labels.where(F.col(label).isNotNull() & learn).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).cast("double").alias("__label"))
     # Bounded by ``most`` rows of three numbers, so it may be broadcast.
     chosen = F.broadcast(known.withColumn("__hash", F.xxhash64("__id")).orderBy("__hash", "__id").limit(most))
-    found = docs.select(F.col(id_col).alias("__doc"), *columns).join(chosen, F.col("__doc") == F.col("__id")).select("__hash", "__label", *columns)
+    text = F.coalesce(F.col(columns[0]), F.lit(""))
+    marked = docs.select(F.col(id_col).alias("__doc"), F.xxhash64(text).alias("__mark"), F.octet_length(text).alias("__size"), *columns).join(chosen, F.col("__doc") == F.col("__id"))
+    sizes = marked.groupBy("__hash", "__mark").agg(F.max("__size").alias("n")).orderBy("__hash", "__mark").limit(most).collect()
+    fit, room = [], most_bytes
+    for r in sizes:
+        if r["n"] <= room:
+            fit.append((r["__hash"], r["__mark"]))
+            room -= r["n"]
+    taken = F.broadcast(docs.sparkSession.createDataFrame(fit, "h long, m long"))  # of ``most`` rows at most
+    found = marked.join(taken, (F.col("__hash") == F.col("h")) & (F.col("__mark") == F.col("m"))).dropDuplicates(["__hash", "__mark"]).select("__hash", "__label", *columns)
     table = found.toArrow()
-    # An id may have several rows: as many rows as were asked for are enough.
-    return table.take(pc.sort_indices(table, [("__hash", "ascending"), (columns[0], "ascending")])).slice(0, most)
+    return table.take(pc.sort_indices(table, [("__hash", "ascending"), (columns[0], "ascending")]))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = ("n_chars",)) -> FactorisationMachine:
