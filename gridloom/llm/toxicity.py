@@ -1,7 +1,6 @@
 """Toxic documents and spans by a linear-chain conditional random field.
 
-Chains are sentences, at most ``CHAIN`` words each, so that very long texts are many chains of
-bounded length; every word is in one. A word's features are its hashed core and beginnings, and the cores
+Chains are whole sentences; every word is in one, and all chains of a batch are walked together. A word's features are its hashed core and beginnings, and the cores
 before and after it. Labels come by document, so tokens are labelled first: a word whose core or beginning is over-represented in toxic documents, beyond chance, is toxic where
 it stands in a toxic document; all other tokens are clean. The field is fitted to those tags by AdaGrad on the log likelihood,
 from a bounded number of labelled rows (``most`` of :func:`fit_toxicity`).
@@ -32,7 +31,6 @@ from .quality import MAX_TRAIN, labelled_sample
 from .text import tidy, words_of
 
 BUCKETS = 1 << 16
-CHAIN = 96
 STEPS = 80
 RATE = 0.5
 DECAY = 1e-4
@@ -76,9 +74,7 @@ def chains(row: np.ndarray, word: np.ndarray, ends_sentence: np.ndarray) -> np.n
         return np.empty(0, np.int64)
     first = np.ones(n, bool)
     first[1:] = (row[1:] != row[:-1]) | ends_sentence[word[:-1]]
-    start = np.flatnonzero(first)
-    since = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
-    return np.flatnonzero(since % CHAIN == 0)
+    return np.flatnonzero(first)
 
 
 @dataclass
