@@ -11,7 +11,7 @@ The index may have at most ``MAX_INDEX_BYTES``; a larger rule set is matched by
 shuffle instead.
 
 Cases: a url that is null or has no ``://`` has an empty host and path and fits no rule; a url that no rule fits is
-allowed; an empty path fits no rule with a path; of rules with the same host and path blocking wins; repeated rows are judged each; no rows give no rows; other columns are ignored.
+allowed; an empty path fits no rule with a path; of rules with the same host and path blocking wins, of those equally long (in bytes) the last by bytes; repeated rows are judged each; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,7 +66,8 @@ def build_index(rules: list[Rule]) -> bytes:
     order = sorted((xxhash.xxh64_intdigest(k), k) for k in blocked)
     ends = np.cumsum([0, *(len(k) for _, k in order)])
     lengths = sorted({len(path.encode()) for _, path, _ in rules})
-    head = np.array([len(order), len(lengths), ends[-1], 0], "<u8").tobytes()
+    longest = max((len(host.translate(_FOLD).encode()) for host, _, _ in rules), default=0)
+    head = np.array([len(order), len(lengths), ends[-1], longest], "<u8").tobytes()
     return b"".join(
         [head, np.array(lengths, "<u8").tobytes(), np.array([d for d, _ in order], "<u8").tobytes(), ends.astype("<u8").tobytes(), bytes(blocked[k] for _, k in order), *(k for _, k in order)]
     )
@@ -77,7 +78,7 @@ class DigestIndex:
 
     def __init__(self, path: str):
         data = np.memmap(path, np.uint8, "r")
-        rules, lengths, size, _ = (int(x) for x in data[:32].view("<u8"))
+        rules, lengths, size, self.longest_host = (int(x) for x in data[:32].view("<u8"))
         at = 32
         self.path_lengths = data[at : (at := at + 8 * lengths)].view("<u8").tolist()
         self.digests = data[at : (at := at + 8 * rules)].view("<u8")
@@ -89,11 +90,13 @@ class DigestIndex:
         return self.strings[int(self.ends[k]) : int(self.ends[k + 1])].tobytes()
 
     def candidates(self, host: str, path: str) -> list[bytes]:
-        """Keys that a rule for this url may have, the longest first."""
+        """Keys that a rule for this url may have, the longest first, of equal lengths the last by bytes. No rule's host is longer than ``longest_host``."""
         raw, parts = path.encode(), host.encode()
-        hosts = [parts] + [parts[m.end() :] for m in re.finditer(rb"\.", parts)]
+        tail = max(0, len(parts) - self.longest_host)  # a parent domain of at most that length begins from here on
+        hosts = [] if tail else [parts]
+        hosts += [parts[m.end() :] for m in re.compile(rb"\.").finditer(parts, max(0, tail - 1))]
         keys = [h + raw[:n] for h in hosts for n in self.path_lengths if n <= len(raw)]
-        return sorted(keys, key=len, reverse=True)
+        return sorted(keys, key=lambda k: (len(k), k), reverse=True)
 
     def find(self, keys: list[bytes]) -> np.ndarray:
         """The rule of each key, or -1."""
@@ -162,8 +165,11 @@ def judge_by_join(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", u
     rest = F.when(F.instr(url_col, "://") > 0, F.expr(f"substring(`{url_col}`, instr(`{url_col}`, '://') + 3)"))
     host = F.regexp_extract(rest, "^[^/?#]*", 0)
     parted = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), fold(F.coalesce(host, F.lit(""))).alias("host"), F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit("")).alias("path"))
+    longest = rules.agg(F.max(F.char_length("host"))).first()[0] or 0
     labels = F.split("host", "\\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # A host of many labels has few parents of a length that some rule's host has.
+    most = F.least(F.size(labels), F.lit(longest + 1))
+    hosts = F.transform(F.sequence(F.lit(1), most), lambda i: F.array_join(F.slice(labels, -i, i), "."))
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.char_length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = F.flatten(F.transform(hosts, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
     found = parted.select("row", "id", "host", "path", F.explode_outer(keys).alias("key")).join(keyed, F.col("key") == F.col("rule"), "left")
