@@ -170,6 +170,21 @@ def test_exact_edges(edge, empty):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([4, 5, 6, 7, 8, 9, None])
 
 
+def test_equal_texts_that_share_an_id_or_lack_one(spark):
+    kept = lambda rows: Counter((r["doc_id"], r["text"]) for r in exact_dedup.drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept([(1, "a b c"), (1, "ab c"), (None, "q  r"), (None, "qr")]) == Counter([(1, "a b c"), (None, "q  r")])
+    assert sum(kept([(1, "a bc"), (1, "ab c"), (1, "a bc")]).values()) == 1
+    assert kept([(2, "x y"), (2, "z"), (1, "xy")]) == Counter([(2, "x y"), (2, "z")])
+
+
+def test_hot_keys_are_merged_before_their_owner(spark):
+    rows = [(k, "the hot text" if k % 3 else f"text {k}") for k in range(600)] + [(600 + k, "the hottext ") for k in range(50)]
+    used = spark.createDataFrame(rows, "id long, text string").repartition(8)
+    keys = used.mapInArrow(exact_dedup._keys, "id long, chars long, key long, sha binary")
+    cold, hot = ({(r["key"], bytes(r["sha"]), r["rows"], r["keep_chars"], r["keep_id"], r["same"]) for r in exact_dedup.build_index(used, keys, 64, n).collect()} for n in (10_000, 100))
+    assert cold == hot and len(hot) == 201
+
+
 def test_directory_doubles_until_buckets_fit(spark):
     rng = np.random.default_rng(0)
     keys = np.concatenate([rng.integers(-(2**63), 2**63, 3000), -(2**63) + rng.integers(0, 1 << 20, 500)])

@@ -87,9 +87,23 @@ def test_mix_edges(edge, empty, spark):
     assert got == +want and mixing.take_copies(empty).count() == 0
 
 
+def test_repeated_rows_are_rounded_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SPREAD", 100)
+    data = [(7, "one and the same row", "a")] * 900 + [(None, "no id", "b")] * 300 + [(k, "w " * (k % 9 + 1), "c") for k in range(400)]
+    table = spark.createDataFrame(data, "doc_id long, text string, source string")
+    mixed = mixing.mix_sources(table).collect()
+    check_mix(mixed, by_source([dict(zip(("doc_id", "text", "source"), r, strict=True)) for r in data]), 60)
+    again = mixing.mix_sources(table.repartition(7)).collect()
+    assert Counter(map(tuple, mixed)) == Counter(map(tuple, again))
+    want, got = Counter(), Counter((r["doc_id"], len(r["text"].split())) for r in mixing.take_copies(table).collect())
+    for r in mixed:
+        want[r["id"], r["size"]] += r["copies"]
+    assert got == +want
+
+
 def test_rounding_is_unbiased(spark):
     """Over many ids a fraction of 0.3 is taken about three times of ten."""
-    rows = spark.range(6000).select(F.lit(1).alias("source_no"), F.col("id"), F.xxhash64("id").alias("h"), (F.col("id") % 9 + 1).alias("w")).withColumn("x", F.rint(F.col("w") * mixing.UNITS * 0.3).cast("long")).withColumn("bucket", F.pmod("h", F.lit(47)))
+    rows = spark.range(6000).select(F.lit(1).alias("source_no"), F.col("id"), F.lit(0).cast("long").alias("mark"), F.xxhash64("id").alias("h"), (F.col("id") % 9 + 1).alias("w")).withColumn("x", F.rint(F.col("w") * mixing.UNITS * 0.3).cast("long")).withColumn("bucket", F.pmod("h", F.lit(47)))
     decided, last = mixing.pivotal_rounding(rows, 47)
     ones = decided.groupBy("w").agg(F.avg(F.col("one").cast("double")).alias("p"), F.count("*").alias("n")).collect()
     assert sum(r["n"] for r in ones) + last.count() == 6000 and last.count() <= 1

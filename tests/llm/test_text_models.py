@@ -295,3 +295,48 @@ def test_bounds_of_toxicity_are_parameters(spark):
     few, all_rows = (toxicity.fit_toxicity(docs, labels, F.lit(True), most=n, clean_ratio=1) for n in (4, 120))
     found = lambda model: model.marginals(pa.array(["a vilething"]))[1].max(initial=0) >= 0.5
     assert found(all_rows) and not found(few)
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    import time
+
+    text = " ".join(f"password=abcdefgh{k} {'0a1b2c3d' * 4}{k:04x}" for k in range(6000))
+    took = []
+    for n in (len(text) // 4, len(text)):
+        began = time.time()
+        r = secrets.scan_secrets(spark.createDataFrame([(1, text[:n])], "doc_id long, text string")).collect()[0]
+        took.append(time.time() - began)
+    assert [(x["start"], x["end"]) for x in r["assign"]] == [m.span() for m in re.finditer(r"password=[A-Za-z0-9]+", text)]
+    assert [(x["start"], x["end"]) for x in r["hex"]] == [m.span() for m in re.finditer(r"[0-9a-f]{32,}", text)]
+    assert took[1] < 10 * took[0] + 2
+
+
+def test_many_distinct_n_grams_alike_by_both_counts(monkeypatch):
+    from gridloom.llm import language
+
+    rng = np.random.default_rng(4)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 700))) + " the cat sat " * 3 for _ in range(140)] + ["", None, "123", "a"]
+    model = language.LanguageModel({"en": ["th", "e", "_t"], "zh": [texts[0][0]]})
+    one = model.predict(texts)
+    monkeypatch.setattr(language, "CELLS", 1 << 40)
+    two = model.predict(texts)
+    assert one[0] == two[0] and np.array_equal(one[1], two[1])
+
+
+def test_labelled_rows_are_bounded_before_texts_are_fetched(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.llm import quality
+
+    docs = spark.createDataFrame([(k, f"{k} " * 10) for k in range(60)] + [(3, "3 " * 10)] * 50 + [(3, "another text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    table = quality.labelled_sample(docs, labels, "quality", F.lit(True), ["text"])
+    assert len(table) == 61
+    assert len(quality.labelled_sample(docs, labels, "quality", F.lit(True), ["text"], most=7)) in (7, 8)
+    few = quality.labelled_sample(docs, labels, "quality", F.lit(True), ["text"], most_bytes=100)
+    assert 0 < sum(len(t.as_py()) for t in few.column("text")) <= 100
+
+
+def test_chains_are_whole_sentences():
+    row, word = np.array([0] * 500 + [1] * 3), np.array([0] * 499 + [1, 0, 1, 0])
+    assert toxicity.chains(row, word, np.array([False, True])).tolist() == [0, 500, 502]

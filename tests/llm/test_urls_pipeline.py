@@ -54,6 +54,15 @@ def test_judge_equals_brute_force(spark, judge):
     assert url_filter.judge(table.limit(0), RULES).count() == 0
 
 
+@pytest.mark.parametrize("judge", ["index", "join"])
+def test_long_hosts_and_rules_of_equal_length(spark, judge):
+    rules = [("b.cc", "/x", "allow"), ("a.b.cc", "/", "block"), ("cc", "/x/yz", "block"), ("cc", "/x/y", "allow")]
+    urls = ["http://a.b.cc/x/yz", "http://a.b.cc/x", "http://" + "q." * 3000 + "a.b.cc/x/y", "http://" + "." * 500, "http://..cc/x/yz"]
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = url_filter.judge(table, rules) if judge == "index" else url_filter.judge_by_join(table, spark.createDataFrame(rules, "host string, path string, verdict string"))
+    assert {r["id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in found.collect()} == {k: brute(u, rules) for k, u in enumerate(urls)}
+
+
 def test_digests_that_collide_are_told_apart(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda x: 7)
     path = tmp_path / "index"
