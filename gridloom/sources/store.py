@@ -1,7 +1,7 @@
 """Tables in the shared folder of the session: how iterative operators cut lineage.
 
-The folder is the one the session names in ``spark.checkpoint.dir``; only where
-that is unset (tests, notebooks) is a folder of our own made and set. Tables are
+The folder is the one the session names in ``spark.checkpoint.dir``; only in local mode, where
+that is unset (tests, notebooks), is a folder of our own made and set. On a cluster an unset one is an error. Tables are
 written by Spark's committer, so a lost executor costs its running tasks only.
 """
 
@@ -16,9 +16,11 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's shared folder, made and set if the session has none."""
+    """The session's shared folder; in local mode one is made and set if the session has none."""
     root = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not root:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError(f"set {_KEY} to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set(_KEY, root)
     return root.rstrip("/")
