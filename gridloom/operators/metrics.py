@@ -5,10 +5,11 @@ The order is total, score descending and then the tie columns: tied scores are w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import running
+from ..sources.store import materialise
+from .ordering import ordered, running
 
 #: Images that a bootstrap needs.
 LEAST_IMAGES = 3
@@ -72,10 +73,10 @@ def summarise(df: DataFrame, score: str, label: str, ties: list[str]) -> dict[st
 
 
 def pr_auc_by(df: DataFrame, group: list[str], score: str, label: str, ties: list[str]) -> DataFrame:
-    """The precision-recall area of each group. Groups are images or replicates: many, and each small enough for a task."""
-    order = Window.partitionBy(*group).orderBy(F.desc_nulls_last(score), *ties)
+    """The precision-recall area of each group, whatever the groups' sizes are."""
     y = F.col(label).cast("long")
-    at = df.select(*group, y.alias("y"), F.row_number().over(order).alias("k"), F.sum(y).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("tp"))
+    used = df.select(*dict.fromkeys([*group, score, *ties]), y.alias("y"))
+    at = running(used, score, ties, {"tp": F.col("y")}, by=group)
     total = at.groupBy(*group).agg(F.sum(F.when(F.col("y") == 1, F.col("tp") / F.col("k")).otherwise(0.0)).alias("s"), F.sum("y").alias("n_pos"))
     return total.select(*group, "n_pos", (F.col("s") / F.greatest(F.col("n_pos").cast("double"), F.lit(1e-12))).alias("pr_auc"))
 
@@ -94,15 +95,14 @@ def resampled(images: DataFrame, replicates: int, seed: int, image: str = "image
 def bootstrap_delta(df: DataFrame, image: str, score_a: str, score_b: str, label: str, ties: list[str], replicates: int = 2000, seed: int = 0) -> DataFrame | None:
     """One row: mean and 95 % interval of the precision-recall area of B less that of A over resampled images.
 
-    Only counts by image, score and label would not do, as each replicate ranks its own pool; replicates are independent groups.
+    Each replicate ranks its own pool, in which ties are walked row by row; replicates are groups of one distributed order.
     None with fewer than three images.
     """
-    order = Window.orderBy(image)  # one row an image
-    numbered = df.select(image).distinct().withColumn("image_no", F.row_number().over(order).cast("long") - 1)
+    numbered = materialise(ordered(df.select(image).distinct(), [image], {}).select(image, (F.col("k").cast("long") - 1).alias("image_no")), "bootstrap-images")
     n = numbered.count()
     if n < LEAST_IMAGES:
         return None
-    pool = resampled(numbered, replicates, seed).join(numbered, "image_no").join(df, image)
+    pool = materialise(resampled(numbered, replicates, seed).join(numbered, "image_no").join(df, image), "bootstrap-pool")
     area = lambda s, name: pr_auc_by(pool, ["rep"], s, label, ["slot", *ties]).select("rep", F.col("pr_auc").alias(name))
     delta = area(score_a, "a").join(area(score_b, "b"), "rep").select("rep", (F.col("b") - F.col("a")).alias("delta"))
     ends = F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975)))

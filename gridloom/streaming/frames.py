@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ordering import ordered
+
 HISTORY = 240
+#: Rows of a stream that one task ranks at a time, at least.
+RUN = 4096
 
 
 def score_stream(frames: DataFrame, score: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
@@ -32,20 +36,36 @@ def late_tolerant_counts(frames: DataFrame, time: str, window: str, lateness: st
 
 
 def rolling_median(df: DataFrame, partition: list[str], order: list[str], value: str, last: int = HISTORY) -> DataFrame:
-    """``df`` with the median ``rolling_median`` of the last rows of its stream."""
-    frame = Window.partitionBy(*partition).orderBy(*order).rowsBetween(1 - last, 0)
-    return df.withColumn("rolling_median", F.percentile(value, F.lit(0.5)).over(frame))
-
+    """``df`` with the median ``rolling_median`` of the last rows of its stream.
 
-def ema(values: Column, keep: float = 0.9) -> Column:
-    """``keep`` of what it was and the rest of each next value, begun by the first; null for none."""
-    return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), values[0], lambda a, x: keep * a + (1 - keep) * x)
+    A stream is cut into runs, each with the ``last - 1`` rows before it, so that a long stream is many tasks'.
+    """
+    size = max(RUN, 4 * last)
+    at = F.col("k") - 1
+    own = F.floor(at / size)
+    ranked = ordered(df, order, {}, by=partition)
+    # A row at the end of a run is also among those before the next.
+    runs = ranked.withColumn("__run", F.explode(F.when(at % size > size - last, F.array(own, own + 1)).otherwise(F.array(own))))
+    frame = Window.partitionBy(*partition, "__run").orderBy("k").rowsBetween(1 - last, 0)
+    median = runs.withColumn("rolling_median", F.percentile(value, F.lit(0.5)).over(frame))
+    return median.where(F.col("__run") == own).select(*df.columns, "rolling_median")
 
 
 def ema_by(df: DataFrame, partition: list[str], order: list[str], value: str, keep: float = 0.9) -> DataFrame:
-    """The final running rate of each stream. A stream's values are in one row: for histories a task can hold, see ``ema_stream``."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__v")))), lambda s: s["__v"])
-    return df.groupBy(*partition).agg(ordered.alias("__vs"), F.count(F.lit(1)).alias("n")).select(*partition, "n", ema(F.col("__vs"), keep).alias("ema"))
+    """The final running rate of each stream: ``keep`` of what it was and the rest of each next value, begun by the first.
+
+    A value's share falls by ``keep`` with every one after it, so the rate is a weighted sum and no task holds a stream.
+    """
+    backwards = [F.desc(c) for c in order]
+    at = ordered(df.select(*partition, *order, F.col(value).alias("__x")), backwards, {}, by=partition)
+    total = at.groupBy(*partition).agg(F.sum((1 - keep) * F.pow(F.lit(keep), F.col("k") - 1) * F.col("__x")).alias("s"), F.max(F.struct("k", "__x")).alias("first"))
+    n = F.col("first.k").cast("long")
+    return total.select(*partition, n.alias("n"), (F.col("s") + F.pow(F.lit(keep), n) * F.col("first.__x")).alias("ema"))
+
+
+def latency(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """Median, the value at the middle or below it, smallest and mean of each group, and how many there are."""
+    return df.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("p50"), F.min(value).alias("least"), F.avg(value).alias("mean"), F.expr(f"percentile_disc(0.5) within group (order by `{value}`)").alias("lower_median"), F.count(value).alias("n"))
 
 
 def ema_stream(frames: DataFrame, key: str, order: str, value: str, keep: float = 0.9) -> DataFrame:
