@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from ..sources.store import drop_table, materialise
 from .ordering import hashed_rank, running
 
 BITS = 64
+#: Bands in a key, and keys of a hash, at most.
+MOST_KEY, MOST_KEYS = 6, 2048
 
 
 def sign_hash(v: str | Column) -> Column:
@@ -26,28 +31,43 @@ def hamming(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def bands(most: int, bits: int = BITS) -> list[tuple[int, int]]:
-    """Shift and mask of ``most + 1`` bands: two hashes at most ``most`` bits apart agree in one of them."""
-    edges = [round(k * bits / (most + 1)) for k in range(most + 2)]
-    return [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+def band_plan(most: int, rows: int, bits: int = BITS) -> tuple[list[tuple[int, int]], int]:
+    """Shift and mask of the bands, and how many of them are a key.
+
+    Two hashes at most ``most`` bits apart agree in all but so many bands, whichever these are. Keys of more bands are rarer to share by chance and
+    there are more of them: the plan has the fewest keys and chance meetings together.
+    """
+
+    def work(key: int) -> float:
+        n = most + key
+        return comb(n, key) * (rows + rows * rows / 2 * 2.0 ** -(bits * key / n))
+
+    key = min((k for k in range(1, MOST_KEY + 1) if most + k <= bits and comb(most + k, k) <= MOST_KEYS), key=work, default=1)
+    n = most + key
+    edges = [round(k * bits / n) for k in range(n + 1)]
+    return [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)], key
 
 
 def hamming_pairs(hashes: DataFrame, id_col: str, hash_col: str, most: int) -> DataFrame:
     """``(a, b, d)``, a < b: all pairs of rows at most ``most`` bits apart.
 
-    Rows meet by the value of a band, so that no row is compared with all; pairs that share an
-    earlier band are left to it, which removes repeats without a shuffle. Equal hashes are one row while pairs are looked for.
+    Rows meet by the values of a few bands together, so that no row is compared with all. A pair that agrees in more bands than a key has is left to the
+    first of them, which removes repeats without a shuffle. Equal hashes are one row while pairs are looked for.
     """
-    parts = bands(most)
-    value = lambda h: F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(h, s).bitwiseAND(F.lit(m)).alias("value")) for i, (s, m) in enumerate(parts)])
     distinct = hashes.select(F.col(hash_col).alias("h")).distinct()
-    met = distinct.select("h", F.explode(value(F.col("h"))).alias("p")).select("h", "p.band", "p.value")
+    parts, size = band_plan(most, distinct.count())
+    keys = list(combinations(range(len(parts)), size))
+    mask = lambda key: sum(parts[i][1] << parts[i][0] for i in key)
+    signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
+    by_key = F.array(*[F.lit(signed(mask(k))) for k in keys])
+    last = F.array(*[F.lit(k[-1]) for k in keys])
+    met = distinct.select("h", F.posexplode(by_key).alias("key", "mask")).select("h", "key", F.col("h").bitwiseAND(F.col("mask")).alias("value"))
     left, right = met.withColumnRenamed("h", "x"), met.withColumnRenamed("h", "y")
-    same_before = F.lit(False)
+    agreed = F.lit(0)
     for i, (s, m) in enumerate(parts):
-        agree = F.shiftrightunsigned(F.col("x").bitwiseXOR(F.col("y")), s).bitwiseAND(F.lit(m)) == 0
-        same_before = same_before | ((F.lit(i) < F.col("band")) & agree)
-    near = left.join(right, ["band", "value"]).where((F.col("x") < F.col("y")) & (hamming("x", "y") <= most) & ~same_before).select("x", "y", hamming("x", "y").alias("d"))
+        same = F.shiftrightunsigned(F.col("x").bitwiseXOR(F.col("y")), s).bitwiseAND(F.lit(signed(m))) == 0
+        agreed = agreed + (same & (F.lit(i) <= last[F.col("key")])).cast("int")
+    near = left.join(right, ["key", "value"]).where((F.col("x") < F.col("y")) & (hamming("x", "y") <= most)).where(agreed == size).select("x", "y", hamming("x", "y").alias("d"))
     near = near.unionByName(distinct.select(F.col("h").alias("x"), F.col("h").alias("y"), F.lit(0).alias("d")))
     of = lambda i, h: hashes.select(F.col(id_col).alias(i), F.col(hash_col).alias(h))
     pairs = near.join(of("i", "x"), "x").join(of("j", "y"), "y").where((F.col("x") != F.col("y")) | (F.col("i") < F.col("j")))
@@ -55,7 +75,7 @@ def hamming_pairs(hashes: DataFrame, id_col: str, hash_col: str, most: int) -> D
 
 
 def theta_pairs(hashes: DataFrame, id_col: str, hash_col: str, most: int) -> DataFrame:
-    """The same pairs by comparing all with all: for small tables and tests."""
+    """The same pairs by comparing all with all: what tests hold the others against."""
     a, b = hashes.select(F.col(id_col).alias("a"), F.col(hash_col).alias("x")), hashes.select(F.col(id_col).alias("b"), F.col(hash_col).alias("y"))
     return a.join(b, (F.col("a") < F.col("b")) & (hamming("x", "y") <= most)).select("a", "b", hamming("x", "y").cast("int").alias("d"))
 
