@@ -8,9 +8,11 @@ correct the rounding, and the score is written to the shared folder to cut the p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,13 +56,33 @@ class BoostConfig:
     @property
     def coarse_trees(self) -> int:
         """Trees of the coarse tier; one fine tree is always left."""
-        return min(round(self.n_trees * self.coarse_fraction), self.n_trees - 1)
+        wanted = round(self.coarse_fraction * self.n_trees)
+        return wanted if wanted < self.n_trees else self.n_trees - 1
 
 
-def split_histogram(rows: DataFrame, bins: str, leaf: str, g: str, h: str) -> DataFrame:
-    """``(leaf, feature, bin, g, h)``: the sums of a level."""
-    each = rows.select(F.col(leaf).alias("leaf"), F.col(g).alias("__g"), F.col(h).alias("__h"), F.posexplode(bins).alias("feature", "bin"))
-    return each.groupBy("leaf", "feature", "bin").agg(F.sum("__g").alias("g"), F.sum("__h").alias("h"))
+def split_histogram(rows: DataFrame, bins: str, leaf: str, g: str, h: str, n_leaves: int, n_features: int, n_bins: int) -> DataFrame:
+    """``(leaf, feature, bin, g, h)``: the sums of a level.
+
+    Each task counts its rows into one array of leaves times features times bins; what moves is that array, once a task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = n_leaves * n_features * n_bins
+        sums, seen = np.zeros((2, size)), np.zeros(size, bool)
+        for batch in batches:
+            if batch.num_rows:
+                at, each = batch.column(0).to_numpy(), np.stack(batch.column(1).to_numpy(zero_copy_only=False))
+                place = ((at[:, None] * n_features + np.arange(n_features)) * n_bins + each).ravel()
+                seen[place] = True
+                for k in (0, 1):
+                    sums[k] += np.bincount(place, np.repeat(batch.column(2 + k).to_numpy(), n_features), size)
+        some = np.flatnonzero(seen)
+        columns = [some // (n_features * n_bins), some // n_bins % n_features, some % n_bins]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array(sums[0][some]), pa.array(sums[1][some])], names=["leaf", "feature", "bin", "g", "h"])
+
+    used = rows.select(F.col(leaf).cast("int"), bins, F.col(g).cast("double"), F.col(h).cast("double"))
+    each = used.mapInArrow(run, "leaf int, feature int, bin int, g double, h double")
+    return each.groupBy("leaf", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
 
 
 def best_split(histogram: np.ndarray, l2: float = L2) -> tuple[int, int, float] | None:
@@ -125,7 +147,7 @@ def _fit_tree(rows: DataFrame, chunk: list, allowed: list[int], n_features: int,
     tree: list[tuple[int, int]] = []
     sums = np.zeros((1, 2))
     for _ in range(config.depth):
-        table = split_histogram(now.withColumn("leaf", _leaf(tree)), "bins", "leaf", "g", "h")
+        table = split_histogram(now.withColumn("leaf", _leaf(tree)), "bins", "leaf", "g", "h", 1 << len(tree), n_features, n_bins)
         histogram = np.zeros((1 << len(tree), n_features, n_bins, 2))
         for r in table.toLocalIterator():  # leaves times features times bins
             histogram[r["leaf"], r["feature"], r["bin"]] = r["g"], r["h"]

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -115,27 +116,33 @@ def binned(x: str, borders: list[list[float]] | tuple[tuple[float, ...], ...]) -
 # Scoring.
 
 
-def _trees_sql(trees: tuple[Tree, ...], first: int) -> Column:
-    rows = [
-        F.struct(F.lit(first + i).alias("t"), F.array(*[F.lit(f) for f, _ in t.splits]).alias("f"), F.array(*[F.lit(b) for _, b in t.splits]).alias("b"), F.array(*[F.lit(c) for c in t.codes]).alias("c"), F.lit(t.shift).alias("s"))
-        for i, t in enumerate(trees)
-    ]
-    return F.array(*rows)
+#: Trees that are spelled out as one expression, at most: generated code has a bound on its size. More are walked in Arrow batches.
+UNROLLED = 48
 
 
-def leaf_index(bins: Column, features: Column, cuts: Column) -> Column:
+def leaf_index(bins: Column, splits: tuple[tuple[int, int], ...]) -> Column:
     """Bit d is set where the bin of the d-th split's feature is above the split's; the root is the lowest bit."""
-    above = F.zip_with(features, cuts, lambda f, b: (bins[f] > b).cast("int"))
-    return F.aggregate(F.transform(above, lambda x, d: x * F.pow(F.lit(2.0), d).cast("int")), F.lit(0), lambda a, b: a + b)
+    out = F.lit(0)
+    for d, (f, b) in enumerate(splits):
+        out = out + F.when(bins[f] > b, 1 << d).otherwise(0)
+    return out
 
 
 def total_of(model: Ensemble, bins: str, first: int = 0, end: int | None = None) -> Column:
-    """The whole number that the trees ``first`` to ``end`` add to a row's total."""
+    """The whole number that the trees ``first`` to ``end`` add to a row's total. A few trees are generated code; many are NumPy over Arrow batches."""
     trees = model.trees[first:end]
-    if not trees:
-        return F.lit(0).cast("long")
-    each = F.transform(_trees_sql(trees, first), lambda t: F.element_at(t["c"], leaf_index(F.col(bins), t["f"], t["b"]) + 1).cast("long") * F.pow(F.lit(2.0), t["s"]).cast("long"))
-    return F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a + b)
+    if len(trees) > UNROLLED:
+        part = replace(model, trees=trees, stages=(), coarse_trees=0)
+
+        @F.pandas_udf("long")
+        def walked(b: pd.Series) -> pd.Series:
+            return pd.Series(totals(part, np.stack(b.to_numpy()) if len(b) else np.zeros((0, len(part.borders)), np.int64)))
+
+        return walked(bins)
+    out = F.lit(0).cast("long")
+    for t in trees:
+        out = out + F.array(*[F.lit(c << t.shift).cast("long") for c in t.codes])[leaf_index(F.col(bins), t.splits)]
+    return out
 
 
 def raw_of(model: Ensemble, total: Column, trees: int | None = None) -> Column:
@@ -193,12 +200,17 @@ def bins_of(model: Ensemble, x: np.ndarray) -> np.ndarray:
 
 
 def totals(model: Ensemble, bins: np.ndarray) -> np.ndarray:
+    """Column by column in bytes: a bin has at most eight bits and a leaf at most seven."""
     out = np.zeros(len(bins), np.int64)
+    columns = np.ascontiguousarray(bins.T.astype(np.uint8))
+    above: dict[tuple[int, int], np.ndarray] = {}
     for t in model.trees:
-        leaf = np.zeros(len(bins), np.int64)
+        leaf = np.zeros(len(bins), np.uint8)
         for d, (f, b) in enumerate(t.splits):
-            leaf += (bins[:, f] > b).astype(np.int64) << d
-        out += np.asarray(t.codes, np.int64)[leaf] << t.shift
+            if (f, b) not in above:  # there are as many questions as borders
+                above[f, b] = (columns[f] > b).view(np.uint8)
+            leaf |= above[f, b] << np.uint8(d)
+        out += (np.asarray(t.codes, np.int64) << t.shift)[leaf]
     return out
 
 

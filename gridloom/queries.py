@@ -91,24 +91,36 @@ def sign_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS d FROM {h} a JOIN {h} b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= {d}"
 
 
-@query(_PAIRS.format(h=_HASH, d=16))
+#: Copies of every hash with up to twelve bits flipped: each row's number of flips, and a mask of that many bits from its id on, five apart.
+_FLIPS = "vec_id % 13"
+_NEAR_SQL = f"(SELECT vec_id, h FROM {_HASH} UNION ALL SELECT vec_id + 1000000, xor(h, list_reduce(list_transform(range(0, 12), lambda i: CASE WHEN i < {_FLIPS} THEN 1::BIGINT << ((vec_id + 5 * i) % 63) ELSE 0::BIGINT END), lambda a, b: xor(a, b))) FROM {_HASH})"
+
+
+def _near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _hashes(spark, sf_dir)
+    mask = F.expr(f"aggregate(transform(sequence(0, 11), i -> if(i < {_FLIPS}, shiftleft(1L, cast((vec_id + 5 * i) % 63 as int)), 0L)), 0L, (a, b) -> a ^ b)")
+    return base.unionByName(base.select((F.col("vec_id") + 1000000).alias("vec_id"), F.col("h").bitwiseXOR(mask).alias("h")))
+
+
+@query(_PAIRS.format(h=_NEAR_SQL, d=12))
 def hamming_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.theta_pairs(_hashes(spark, sf_dir), "vec_id", "h", 16)
+    """All pairs within 12 bits, by combinations of bands as well."""
+    return dedup.hamming_pairs(_near_hashes(spark, sf_dir), "vec_id", "h", 12)
 
 
-@query(_PAIRS.format(h=_HASH, d=18))
+@query(_PAIRS.format(h=_NEAR_SQL, d=8))
 def hamming_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.hamming_pairs(_hashes(spark, sf_dir), "vec_id", "h", 18)
+    return dedup.hamming_pairs(_near_hashes(spark, sf_dir), "vec_id", "h", 8)
 
 
 @query(f"""
-WITH RECURSIVE h AS MATERIALIZED (SELECT * FROM {_HASH}),
-e AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v FROM h a JOIN h b ON a.vec_id <> b.vec_id AND bit_count(xor(a.h, b.h)) <= 18),
+WITH RECURSIVE h AS MATERIALIZED (SELECT * FROM {_NEAR_SQL}),
+e AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v FROM h a JOIN h b ON a.vec_id <> b.vec_id AND bit_count(xor(a.h, b.h)) <= 8),
 reach(u, v) AS (SELECT vec_id, vec_id FROM h UNION SELECT r.u, e.v FROM reach r JOIN e ON r.v = e.u),
 roots AS (SELECT u, min(v) AS root FROM reach GROUP BY u)
 SELECT u AS id, dense_rank() OVER (ORDER BY root) - 1 AS group_id FROM roots""")
 def near_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_duplicate_groups(_hashes(spark, sf_dir), "vec_id", "h", 18)
+    return dedup.near_duplicate_groups(_near_hashes(spark, sf_dir), "vec_id", "h", 8)
 
 
 @query("SELECT min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY text")
@@ -232,12 +244,11 @@ def pyramid_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.select("image_id", "side", F.posexplode("m").alias("cell", "m")).select("image_id", "side", "cell", F.round(F.col("m").cast("double"), 5).alias("mean"))
 
 
+_PARENT = "round(CAST(CAST(avg(v::DOUBLE) OVER (PARTITION BY image_id{by}) AS FLOAT) AS DOUBLE), 5) AS {name}"
 _GATHER_SQL = f"""
-WITH cells AS {_CELLS},
-l AS (SELECT image_id, f, r // f AS pr, c // f AS pc, CAST(CAST(avg(v::DOUBLE) AS FLOAT) AS DOUBLE) AS m FROM cells, (VALUES (2), (4), (8)) t(f) GROUP BY ALL)
-SELECT a.image_id, CAST(a.cell AS INTEGER) AS cell, round(a.v::DOUBLE, 5) AS p1, round(x.m, 5) AS p2, round(y.m, 5) AS p4, round(z.m, 5) AS overall
-FROM cells a JOIN l x ON x.image_id = a.image_id AND x.f = 2 AND x.pr = a.r // 2 AND x.pc = a.c // 2
-JOIN l y ON y.image_id = a.image_id AND y.f = 4 AND y.pr = a.r // 4 AND y.pc = a.c // 4 JOIN l z ON z.image_id = a.image_id AND z.f = 8"""
+WITH cells AS {_CELLS}
+SELECT image_id, CAST(cell AS INTEGER) AS cell, round(v::DOUBLE, 5) AS p1, {_PARENT.format(by=", r // 2, c // 2", name="p2")}, {_PARENT.format(by=", r // 4, c // 4", name="p4")}, {_PARENT.format(by="", name="overall")}
+FROM cells"""
 
 
 @query(_GATHER_SQL)
@@ -364,7 +375,7 @@ def bin_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT row_key, CAST((b0 > 1)::INT + (b1 > 2)::INT * 2 + (b2 > 0)::INT * 4 AS INTEGER) AS leaf FROM {_BINS_SQL}")
 def leaf_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaf = trees.leaf_index(F.col("bins"), F.array(*map(F.lit, (0, 1, 2))), F.array(*map(F.lit, (1, 2, 0))))
+    leaf = trees.leaf_index(F.col("bins"), ((0, 1), (1, 2), (2, 0)))
     return _binned(spark, sf_dir).select("row_key", leaf.alias("leaf"))
 
 
@@ -396,6 +407,26 @@ def ensemble_score_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.score_in_batches(cells(spark, sf_dir), _M, "x", ["row_key"]).select("row_key", "total", r9("probability").alias("probability"))
 
 
+#: A model of the published shape by a rule: 1,000 trees of depth 5.
+_MANY = 1000
+
+
+def _many_model() -> trees.Ensemble:
+    splits = [tuple(((7 * t + 3 * d + t // 4) % 4, (t + 2 * d) % 3) for d in range(5)) for t in range(_MANY)]
+    codes = [tuple((5 * t + 3 * j + t * j % 7) % 16 for j in range(32)) for t in range(_MANY)]
+    return trees.Ensemble(tuple(trees.Tree(s, c, 0.0, 2 if t < 600 else 0) for t, (s, c) in enumerate(zip(splits, codes, strict=True))), tuple(map(tuple, _CUTS)), -12)
+
+
+@query(f"""
+WITH b AS (SELECT row_key, b0, b1, b2, b3 FROM {_BINS_SQL}),
+u AS (SELECT DISTINCT b0, b1, b2, b3 FROM b),
+l AS (SELECT u.*, t, sum((CASE (7 * t + 3 * d + t // 4) % 4 WHEN 0 THEN b0 WHEN 1 THEN b1 WHEN 2 THEN b2 ELSE b3 END > (t + 2 * d) % 3)::INT * (1 << d::INT)) AS j FROM u, range(0, {_MANY}) a(t), range(0, 5) c(d) GROUP BY ALL),
+s AS (SELECT b0, b1, b2, b3, CAST(sum(((5 * t + 3 * j + t * j % 7) % 16) * CASE WHEN t < 600 THEN 4 ELSE 1 END) AS BIGINT) AS total FROM l GROUP BY ALL)
+SELECT row_key, total FROM b JOIN s USING (b0, b1, b2, b3)""")
+def ensemble_score_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _binned(spark, sf_dir).select("row_key", trees.total_of(_many_model(), "bins").alias("total"))
+
+
 def _offsets(k: int) -> float:
     return float(sum(t.offset for t in _M.trees[:k]))
 
@@ -447,7 +478,7 @@ h AS (SELECT leaf, CAST(f AS INTEGER) AS feature, bin, sum(y::INT - 0.5::DOUBLE)
 
 def _histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = _binned(spark, sf_dir).select("bins", (F.col("y").cast("double") - 0.5).alias("g"), F.lit(0.25).alias("h"), (F.col("bins")[0] > 1).cast("int").alias("leaf"))
-    return boost.split_histogram(now, "bins", "leaf", "g", "h")
+    return boost.split_histogram(now, "bins", "leaf", "g", "h", 2, len(FEATURES), max(map(len, _CUTS)) + 1)
 
 
 @query(_HIST + " SELECT leaf, feature, bin, round(g, 6) AS g, round(h, 6) AS h FROM h")
