@@ -137,6 +137,36 @@ def gather(images: DataFrame, factors: tuple[int, ...]) -> DataFrame:
     return out.withColumn("overall", F.expr("cast(aggregate(v, 0D, (s, x) -> s + x) / (g * g) as float)"))
 
 
+def to_grid(cells: DataFrame, image: str, cell: str, value: str, side: int = 64) -> DataFrame:
+    """One row an image: its cells' values as an array of ``side`` times ``side`` floats, null where a cell is missing."""
+    at = F.map_from_entries(F.collect_list(F.struct(F.col(cell).cast("int"), F.col(value).cast("float"))))
+    held = cells.where(F.col(cell).between(0, side * side - 1)).groupBy(image).agg(at.alias("__m"))  # as many entries as an image has cells
+    return held.select(image, F.lit(side).alias("g"), F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: F.try_element_at("__m", k)).alias("v"))
+
+
+def native_offsets(sides: list[int]) -> list[int]:
+    """Where each level's cells begin when levels lie one behind another, and the end."""
+    return [sum(s * s for s in sides[:k]) for k in range(len(sides) + 1)]
+
+
+def compose(levels: DataFrame, sides: list[int]) -> DataFrame:
+    """One row an image of rows ``image_id, side, m``: all levels' cells one behind another, in the order of ``sides``: the factorised matrix."""
+    held = levels.where(F.col("side").isin(*sides)).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("side", "m"))).alias("__m"))  # a few levels an image
+    return held.select("image_id", F.concat(*[F.col("__m")[s] for s in sides]).alias("native"))
+
+
+def expand(native: DataFrame, sides: list[int], side: int, keep: list[int] | None = None) -> DataFrame:
+    """One row a cell of the finest grid: ``image_id, cell, x``, with its parent's value at each level, or at the levels ``keep``: the dense matrix.
+
+    A parent is found by its index, so no join is needed.
+    """
+    start = native_offsets(sides)
+    cell = F.explode(F.sequence(F.lit(0), F.lit(side * side - 1)))
+    parent = lambda s: F.expr(f"cast({start[sides.index(s)]} + (cell div {side}) div {side // s} * {s} + (cell % {side}) div {side // s} as int)")
+    at = native.select("image_id", "native", cell.alias("cell"))
+    return at.select("image_id", "cell", F.array(*[F.col("native")[parent(s)] for s in (sides if keep is None else [sides[k] for k in keep])]).alias("x"))
+
+
 def gather_samples(samples: DataFrame, levels: DataFrame, grid: int) -> DataFrame:
     """Sampled cells ``image_id, cell`` with their parents' values, by joins on image and native cell.
 

@@ -214,6 +214,17 @@ def totals(model: Ensemble, bins: np.ndarray) -> np.ndarray:
     return out
 
 
+def importances(model: Ensemble) -> list[float]:
+    """For each feature, how far apart the leaves on both sides of its splits lie, summed over splits and averaged over each tree's leaves."""
+    out = np.zeros(len(model.borders))
+    for t in model.trees:
+        values = np.ldexp(np.asarray(t.codes, float), model.e_min + t.shift)
+        leaf = np.arange(len(values))
+        for d, (f, _) in enumerate(t.splits):
+            out[f] += np.abs(values - values[leaf ^ (1 << d)]).mean()
+    return out.tolist()
+
+
 # The leaf grid.
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars
+from .functions.sql import register
 from .operators import boost, dedup, grid, metrics, sampling, sweep, trees
 from .operators.ordering import hashed_rank, running
 from .sources import images, model_files
@@ -83,6 +84,13 @@ def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", dedup.sign_hash("embedding").alias("h"))
 
 
+@query(f"SELECT vec_id, h, CAST(bit_count(xor(h, 255::BIGINT)) AS INTEGER) AS d FROM {_HASH}")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes and distances by functions registered for SQL."""
+    register(spark, "gridloom_")
+    return spark.sql("SELECT vec_id, gridloom_sign_hash(embedding) AS h, gridloom_hamming(gridloom_sign_hash(embedding), 255L) AS d FROM {e}", e=table(spark, sf_dir, "embeddings"))
+
+
 @query(f"SELECT vec_id, h, CAST(bit_count(h) AS INTEGER) AS ones FROM {_HASH}")
 def sign_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hashes(spark, sf_dir).select("vec_id", "h", dedup.popcount(F.col("h")).cast("int").alias("ones"))
@@ -258,6 +266,22 @@ def pyramid_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("image_id", "cell", *(F.round(F.col(n).cast("double"), 5).alias(n) for n in ("p1", "p2", "p4", "overall")))
 
 
+@query(_GATHER_SQL)
+def native_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the factorised matrix: levels one behind another, then expanded to the finest cells."""
+    sides = [8, 4, 2, 1]
+    native = grid.compose(grid.pyramid(grids(spark, sf_dir)), sides)
+    at = grid.expand(native, sides, 8)
+    return at.select("image_id", "cell", *(F.round(F.col("x")[k].cast("double"), 5).alias(n) for k, n in enumerate(("p1", "p2", "p4", "overall"))))
+
+
+@query(f"WITH cells AS {_CELLS} SELECT image_id, CAST(8 AS INTEGER) AS g, list(round(v::DOUBLE, 5) ORDER BY cell) AS v FROM cells GROUP BY image_id")
+def score_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells back to a row an image."""
+    back = grid.to_grid(grid.to_cells(grids(spark, sf_dir), "v").repartition("cell"), "image_id", "cell", "v", 8)
+    return back.select("image_id", "g", F.transform("v", lambda x: F.round(x.cast("double"), 5)).alias("v"))
+
+
 @query(_GATHER_SQL)
 def pyramid_gather_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by joins of sampled cells with the levels' native cells, and of images with their whole."""
@@ -510,7 +534,7 @@ def boosted_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_files.trees_table(spark, model)
 
 
-@query()
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::INT, {j}::INT, {c}::INT, {t.offset + c * 2.0 ** (_M.e_min + t.shift)!r}::DOUBLE, true)" for i, t in enumerate(_M.trees) for j, c in enumerate(t.codes)) + ") t(tree, leaf, code, value, same)")
 def blob_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixed model through its file: what is read equals what was written."""
     file = model_files.ModelFile({}, list(FEATURES), model_files.encode_trees(_M))
@@ -621,6 +645,12 @@ def knob_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams.
 
 
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, min(value) AS least, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS lower_median, count(value) AS n FROM events GROUP BY event_type")
+def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = frames.latency(table(spark, sf_dir, "events"), "value", "event_type")
+    return out.select("event_type", F.round("p50", 6).alias("p50"), "least", F.round("mean", 6).alias("mean"), "lower_median", "n")
+
+
 @query("SELECT event_id, round(quantile_cont(value, 0.5) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 239 PRECEDING AND CURRENT ROW), 6) AS rolling_median FROM events")
 def rolling_median_240(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = frames.rolling_median(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")

@@ -51,13 +51,11 @@ def require_pairs(paired: DataFrame) -> DataFrame:
 
 
 def decode(files: DataFrame, grey: bool = False) -> DataFrame:
-    """``(path, h, w, pixels)`` of files with ``path, content``, where a decoder is installed; null where one can't be read."""
+    """``(path, h, w, pixels)`` of files with ``path, content``; null where one can't be read. A missing decoder is an error when rows are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            from PIL import Image
-        except ImportError:
-            Image = None
+        from PIL import Image
+
         for batch in batches:
             rows = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -81,6 +79,29 @@ def unhashed(files: DataFrame, memo: DataFrame) -> DataFrame:
     return files.withColumn("key", memo_key()).join(memo.select("key"), "key", "left_anti")
 
 
+def remember(hashed: DataFrame, memo: str) -> None:
+    """Appends the hashes of files ``path, length, modified, hash`` to the memo folder; a file that changes gets another key."""
+    hashed.select(memo_key().alias("key"), "hash").write.mode("append").parquet(memo)
+
+
+def memoised(files: DataFrame, memo: DataFrame) -> DataFrame:
+    """``files`` with ``hash`` from the memo, null where it has none. A key that was written twice counts once."""
+    known = memo.groupBy("key").agg(F.min("hash").alias("hash"))
+    return files.withColumn("key", memo_key()).join(known, "key", "left").drop("key")
+
+
+def native_maps(found: DataFrame, sides: dict[str, int]) -> DataFrame:
+    """Features that another process made, checked: ``image_id`` and a map for each name of ``sides``, an array of side times side numbers.
+
+    A missing column is an error at once, a map of another size an error when it is read.
+    """
+    lacking = sorted({"image_id", *sides} - set(found.columns))
+    if lacking:
+        raise ValueError(f"no columns {lacking}")
+    sized = lambda n, s: F.when(F.size(n) == s * s, F.col(n).cast("array<float>")).otherwise(F.raise_error(F.concat(F.lit(f"{n} has not {s * s} cells but "), F.size(n).cast("string"))))
+    return found.select("image_id", *(sized(n, s).alias(n) for n, s in sides.items()))
+
+
 def read_floats(path: str | Path, count: int | None = None):
     """Little-endian floats of a raw file, whose size is checked."""
     import numpy as np

@@ -12,10 +12,12 @@ from __future__ import annotations
 import json
 import struct
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,9 +152,35 @@ class ModelFile:
         return cls.from_bytes(Path(path).read_bytes())
 
 
-def read_models(spark: SparkSession, path: str) -> list[tuple[str, ModelFile]]:
-    """Model files of a folder that Spark can read, with their paths."""
-    return [(r["path"], ModelFile.from_bytes(bytes(r["content"]))) for r in spark.read.format("binaryFile").load(path).select("path", "content").toLocalIterator()]
+def read_models(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, n_features, n_trees, depth, n_stages, blob_bytes, config)`` of a folder's model files, read where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = [ModelFile.from_bytes(bytes(x)) for x in batch.column(1).to_pylist()]
+            models = [f.model for f in files]
+            numbers = [[len(m.borders) for m in models], [len(m.trees) for m in models], [m.depth for m in models], [len(m.stages) for m in models], [len(f.trees) for f in files]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int32()) for x in numbers), pa.array([json.dumps(f.config) for f in files], pa.string())], names=_LISTED)
+
+    kinds = ("string", *["int"] * 5, "string")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(_LISTED, kinds, strict=True)))
+
+
+_LISTED = ["path", "n_features", "n_trees", "depth", "n_stages", "blob_bytes", "config"]
+
+
+def save_borders(spark: SparkSession, borders: list[list[float]], path: str) -> None:
+    """Borders as tab-separated rows ``feature, border``, so that later blocks and runs share them."""
+    rows = [(f, b) for f, each in enumerate(borders) for b in each]
+    spark.createDataFrame(rows, "feature int, border double").coalesce(1).write.mode("overwrite").option("sep", "\t").csv(path)
+
+
+def load_borders(spark: SparkSession, path: str, n_features: int) -> list[list[float]]:
+    """The borders of each feature, ascending."""
+    out: list[list[float]] = [[] for _ in range(n_features)]
+    for r in spark.read.schema("feature int, border double").option("sep", "\t").csv(path).sort("feature", "border").toLocalIterator():
+        out[r["feature"]].append(r["border"])
+    return out
 
 
 def from_booster_json(text: str, bits: int = 4, chunk: int = 16, coarse: int = 0, level_shift: tuple[int, ...] = ()) -> Ensemble:

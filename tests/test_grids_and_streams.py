@@ -1,3 +1,4 @@
+import importlib.util
 import time
 from collections import Counter
 
@@ -87,6 +88,48 @@ def test_groups_equal_union_find(spark):
     assert groups == {x: heads.index(root(x)) for x in up}
 
 
+@pytest.mark.parametrize(("most", "rows"), [(4, 2000), (8, 2000), (8, 10**9)])
+def test_few_pairs_meet_by_bands(most, rows):
+    parts, size = dedup.band_plan(most, rows)
+    assert sum(m.bit_length() for _, m in parts) == 64 and len(parts) - size == most
+    rng = np.random.default_rng(2)
+    x, y = (rng.integers(0, 2**64, 200_000, dtype=np.uint64) for _ in "xy")
+    agreed = sum(((((x ^ y) >> np.uint64(s)) & np.uint64(m)) == 0).astype(int) for s, m in parts)
+    assert (agreed >= size).mean() < 0.01
+
+
+def test_native_maps_are_checked(spark):
+    found = spark.createDataFrame([(1, [1.0] * 4, [2.0]), (2, [1.0] * 4, [2.0, 3.0])], "image_id int, a array<double>, b array<double>")
+    assert images.native_maps(found.limit(1), {"a": 2, "b": 1}).first()["a"] == [1.0] * 4
+    with pytest.raises(ValueError, match="c"):
+        images.native_maps(found, {"c": 1})
+    with pytest.raises(Exception, match="not 4 cells"):
+        images.native_maps(found, {"b": 1}).collect()
+
+
+def test_grids_of_cells_and_levels_one_behind_another(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(3, 8, 8)).astype(np.float32)
+    table = spark.createDataFrame([(k, 8, x.ravel().tolist()) for k, x in enumerate(v)], "image_id int, g int, v array<float>")
+    native = grid.compose(grid.pyramid(table, (1, 2, 8)), [8, 4, 1])
+    assert grid.native_offsets([8, 4, 1]) == [0, 64, 80, 81] and len(native.first()["native"]) == 81
+    for r in grid.expand(native, [8, 4, 1], 8).collect():
+        row, c, own = r["cell"] // 8, r["cell"] % 8, v[r["image_id"]]
+        np.testing.assert_allclose(r["x"], [own[row, c], own[row // 2 * 2 : row // 2 * 2 + 2, c // 2 * 2 : c // 2 * 2 + 2].mean(), own.mean()], rtol=1e-5, atol=1e-6)
+    assert len(grid.expand(native, [8, 4, 1], 8, [1]).first()["x"]) == 1
+    cells = grid.to_cells(table, "v").where("not (image_id = 1 and cell = 5)")
+    back = {r["image_id"]: r["v"] for r in grid.to_grid(cells, "image_id", "cell", "v", 8).collect()}
+    assert back[0] == v[0].ravel().tolist() and back[1][5] is None
+
+
+def test_functions_for_sql(spark):
+    from gridloom.functions.sql import FUNCTIONS, register
+
+    assert len(register(spark, "g_")) == len(FUNCTIONS)
+    r = spark.sql("SELECT g_hamming(7L, 1L) AS h, g_bin_of(0.5f, array(0.1f, 0.5f, 0.9f)) AS b, g_sigmoid(0D) AS p, g_cell_row(65, 64) AS r, g_leaf_value(3L, 1, -2, 0.5D) AS v").first()
+    assert tuple(r) == (2, 1, 0.5, 1, 2.0)
+
+
 def test_sample_targets_round_half_to_even():
     assert sampling.sample_targets(5, 100, 0.5, None) == (5, 2) and sampling.sample_targets(7, 100, 0.5, None) == (7, 4)
     assert sampling.sample_targets(10, 90, None, 50) == (5, 45) and sampling.sample_targets(3, 0, 5.0, None) == (3, 0)
@@ -130,7 +173,13 @@ def test_image_folders(spark, tmp_path):
     memo = files.where("name = 'a.jpg'").select(images.memo_key().alias("key"))
     assert {r["name"] for r in images.unhashed(files, memo).collect()} == {"b.PNG", "c.tiff"}
     raw = spark.read.format("binaryFile").load(str(tmp_path / "a.jpg"))
-    assert images.decode(raw).first()["pixels"] is None
+    if importlib.util.find_spec("PIL"):
+        assert images.decode(raw).first()["pixels"] is None
+    else:
+        with pytest.raises(Exception, match="PIL"):
+            images.decode(raw).first()
+    images.remember(files.where("name = 'a.jpg'").withColumn("hash", F.lit(7).cast("long")), str(tmp_path / "memo"))
+    assert {r["name"]: r["hash"] for r in images.memoised(files, spark.read.parquet(str(tmp_path / "memo"))).collect()} == {"a.jpg": 7, "b.PNG": None, "c.tiff": None}
     (tmp_path / "f.f32").write_bytes(np.arange(3, dtype="<f4").tobytes())
     assert images.read_floats(tmp_path / "f.f32", 3).tolist() == [0, 1, 2]
     with pytest.raises(ValueError, match="bytes"):
@@ -149,10 +198,16 @@ def test_sweep_resumes(spark, tmp_path):
     records = sweep.run_sweep(spark, {"depth": [3, 5, 7]}, run, at)
     assert calls == [{"depth": 3}, {"depth": 5}, {"depth": 7}] and records.count() == 3
     assert "| 1 | 7 |" in sweep.report(records)
-    assert len(sweep.run_key({"a": 1})) == 12 and sweep.run_label({"b": 1, "a": "x y"}) == "a=x-y_b=1"
-    assert sweep.parse_values("8,16,8", "int") == [8, 16] and sweep.parse_values("64/32", "tuple[int, ...]") == [(64, 32)]
-    assert sweep.parse_values("none,3,2.5", "float | None") == [None, 3.0, 2.5] and sweep.parse_values("false", "bool") == [False]
-    assert sweep.parse_value("pow2", "int | str") == "pow2" and sweep.parse_value("-3", "int | str") == -3
+    named = sweep.keyed(sweep.grid(spark, {"b": [1], "a": ["x y"]})).first()
+    assert len(named["key"]) == 12 and named["label"] == "a=x+y,b=1" and sweep.keyed(sweep.grid(spark, {})).first()["label"] == "defaults"
+    values = lambda *a: sweep.knob_values(spark, *a)
+    assert values("8,16,8", "int") == [8, 16] and values("64/32", "array<int>") == [[64, 32]]
+    assert values("none,3,2.5", "double", True) == [None, 3.0, 2.5] and values("false,on", "boolean") == [False, True]
+    with pytest.raises(ValueError):
+        values("3,x", "int")
+    sweep.save_scores(spark.createDataFrame([(1, 0.5)], "id int, p double"), f"{at}-scores", "k1")
+    sweep.save_scores(spark.createDataFrame([(2, 0.25)], "id int, p double"), f"{at}-scores", "k2")
+    assert [tuple(r) for r in sweep.load_scores(spark, f"{at}-scores", "k2").collect()] == [(2, 0.25)]
 
 
 def test_streams_equal_batches(spark, sf_dir, tmp_path):

@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import boost, trees
+from gridloom.plans import training, tune
 from gridloom.plans.detector import Detector
 from gridloom.queries import _model
 from gridloom.sources.config import Config, FrontConfig, load_ranking, select_columns
-from gridloom.sources.model_files import ModelFile, decode_trees, encode_trees, from_booster_json
+from gridloom.sources.model_files import ModelFile, decode_trees, encode_trees, from_booster_json, load_borders, read_models, save_borders
 
 
 def random_model(rng, n_trees=12, depth=3, features=5):
@@ -177,6 +178,65 @@ def test_detector_saves_and_loads(spark, tmp_path):
         Detector().score(rows)
 
 
+def image_cells(spark, n=24, side=4):
+    """Images in pairs of near copies, and their cells."""
+    rng = np.random.default_rng(9)
+    hashes = [int(x) for x in rng.integers(-(2**62), 2**62, n // 2)]
+    images = spark.createDataFrame([(k, hashes[k // 2] ^ (k % 2)) for k in range(n)], "image_id long, hash long")
+    rows = []
+    for k in range(n):
+        for c in range(side * side):
+            x = rng.normal(size=3)
+            rows.append((k, c, [float(v) for v in x], bool(x[0] + 0.3 * x[1] > 0.8)))
+    return images, spark.createDataFrame(rows, "image_id long, cell int, x array<float>, y boolean")
+
+
+def test_detector_from_images(spark, tmp_path):
+    images, table = image_cells(spark)
+    config = Config(boost.BoostConfig(depth=2, n_trees=4, leaf_chunk=2, learning_rate=0.5), FrontConfig(neg_pos_ratio=2.0, val_frac=0.25, block_gib=1e-6))
+    split = training.build_split(images, config.train)
+    groups = split.groupBy("group_id").agg(F.count("*").alias("n"), F.count_distinct("held_out").alias("kinds")).collect()
+    assert len(groups) == 12 and all(g["n"] == 2 and g["kinds"] == 1 for g in groups) and split.where("held_out").count() == 6
+    detector = Detector(config, ["a", "b", "c"]).fit_images(images, table)
+    assert detector.metadata["pr_auc"] > 0.5 and detector.metadata["blocks"] > 1 and detector.metadata["images_held_out"] == 6
+    assert detector.ranking()[0] == "a"
+    smaller, at = detector.prune(2)
+    assert smaller.model is None and [detector.feature_names[k] for k in at] == smaller.feature_names and "a" in smaller.feature_names
+    whole = detector.score_grid(table, 4).collect()
+    assert len(whole) == 24 and all(len(r["v"]) == 16 and None not in r["v"] for r in whole)
+    samples = training.sample_cells(table.select("image_id", "cell", "y"), split, config.train)
+    assert training.gather(samples, table).count() == samples.count()
+    with pytest.raises(Exception, match="no features"):
+        training.gather(samples, table.limit(0)).collect()
+
+
+def test_tune_fits_what_has_no_record(spark, tmp_path):
+    images, table = image_cells(spark, 12)
+    base = Config(boost.BoostConfig(depth=1, n_trees=2, leaf_chunk=2), FrontConfig(neg_pos_ratio=None, val_frac=0.4))
+    args = (spark, images, table, ["a", "b", "c"])
+    assert tune.tune(*args, {"depth": [1]}, str(tmp_path), base, keep_scores=True).count() == 1
+    found = tune.tune(*args, {"depth": [1, 2]}, str(tmp_path), base)
+    assert sorted(r["overrides"]["depth"] for r in found.collect()) == ["1", "2"] and len(list((tmp_path / "models").iterdir())) == 2
+    assert read_models(spark, str(tmp_path / "models")).where("n_trees = 2 and n_features = 3").count() == 2
+    assert tune.knobs()["thumb"] == ("train", "string", False) and tune.knobs()["levels"][1] == "array<int>" and tune.knobs()["neg_pos_ratio"][2]
+    with pytest.raises(ValueError):
+        tune.configure(base, {"no": 1})
+
+
+def test_border_files(spark, tmp_path):
+    borders = [[0.25, 1 / 3], [], [2.0]]
+    save_borders(spark, borders, str(tmp_path / "b"))
+    assert load_borders(spark, str(tmp_path / "b"), 3) == borders
+
+
+def test_many_trees_equal_few_at_a_time(spark):
+    rng = np.random.default_rng(8)
+    model = random_model(rng, 60)
+    table = spark.createDataFrame([(k, [int(x) for x in rng.integers(0, 12, 5)]) for k in range(200)], "k int, bins array<int>")
+    whole, parts = trees.total_of(model, "bins"), trees.total_of(model, "bins", 0, 30) + trees.total_of(model, "bins", 30)
+    assert table.where(whole != parts).count() == 0
+
+
 def test_planning_tables():
     assert [boost.bin_bits(k) for k in (15, 1, 7, 8, 254)] == [4, 1, 3, 4, 8]
     assert boost.plan_blocks(5_700_000, 3122, 4.0) == 17 and boost.plan_blocks(10, 10, None) == boost.plan_blocks(0, 5, 1.0) == 1
@@ -208,7 +268,7 @@ def test_config_and_ranking_files(tmp_path):
             Config.from_dict(bad)
     (tmp_path / "r.json").write_text('{"names": ["c", "a", "b"]}')
     assert select_columns(["a", "b", "c"], load_ranking(tmp_path / "r.json"), 2) == ["a", "c"]
-    with pytest.raises(ValueError, match="aren't there"):
+    with pytest.raises(ValueError, match="no columns"):
         select_columns(["a"], ["z"], 1)
     (tmp_path / "r.json").write_text('{"names": []}')
     with pytest.raises(ValueError, match="no columns"):
