@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import materialise
-from .trees import Ensemble, Tree, build_ensemble, quantise, total_of
+from .trees import Ensemble, Tree, build_ensemble, matrix, quantise, total_of
 
 #: Added to the curvature of every leaf.
 L2 = 3.0
@@ -71,7 +71,7 @@ def split_histogram(rows: DataFrame, bins: str, leaf: str, g: str, h: str, n_lea
         sums, seen = np.zeros((2, size)), np.zeros(size, bool)
         for batch in batches:
             if batch.num_rows:
-                at, each = batch.column(0).to_numpy(), np.stack(batch.column(1).to_numpy(zero_copy_only=False))
+                at, each = batch.column(0).to_numpy(), matrix(batch.column(1), n_features)
                 place = ((at[:, None] * n_features + np.arange(n_features)) * n_bins + each).ravel()
                 seen[place] = True
                 for k in (0, 1):

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -134,9 +133,9 @@ def total_of(model: Ensemble, bins: str, first: int = 0, end: int | None = None)
     if len(trees) > UNROLLED:
         part = replace(model, trees=trees, stages=(), coarse_trees=0)
 
-        @F.pandas_udf("long")
-        def walked(b: pd.Series) -> pd.Series:
-            return pd.Series(totals(part, np.stack(b.to_numpy()) if len(b) else np.zeros((0, len(part.borders)), np.int64)))
+        @F.arrow_udf("long")
+        def walked(b: pa.Array) -> pa.Array:
+            return pa.array(totals(part, matrix(b, len(part.borders))))
 
         return walked(bins)
     out = F.lit(0).cast("long")
@@ -187,7 +186,7 @@ def score_in_batches(df: DataFrame, model: Ensemble, features: str, keep: list[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            x = np.stack(batch.column(len(keep)).to_numpy(zero_copy_only=False)).astype(np.float32) if batch.num_rows else np.zeros((0, len(m.borders)), np.float32)
+            x = matrix(batch.column(len(keep)), len(m.borders)).astype(np.float32)
             total = totals(m, bins_of(m, x))
             raw = m.offset_sum + np.ldexp(total.astype(float), m.e_min)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(total), pa.array(1 / (1 + np.exp(-raw)))], names=[*keep, "total", "probability"])
@@ -195,6 +194,11 @@ def score_in_batches(df: DataFrame, model: Ensemble, features: str, keep: list[s
     return df.select(*keep, features).mapInArrow(run, schema)
 
 
+def matrix(lists: pa.Array, width: int) -> np.ndarray:
+    """Arrays of ``width`` numbers each, as rows."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), width)
+
+
 def bins_of(model: Ensemble, x: np.ndarray) -> np.ndarray:
     return np.stack([np.searchsorted(np.asarray(b, np.float32), x[:, i], side="left") for i, b in enumerate(model.borders)], 1).astype(np.int64) if len(model.borders) else np.zeros((len(x), 0), np.int64)
 
