@@ -18,27 +18,32 @@ LEAST_QUALITY = 0.7
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Scores by a model of all labelled documents; keeps those at or above the threshold."""
+    """Scores by a model of all labelled documents; keeps those at or above the threshold.
+
+    Null and empty texts are scored like others; repeated rows are scored each; without labels of both classes every score is the share of label 1.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit_quality(docs, labels, F.lit(True))
     return quality.with_score(docs, model, score_col="__score").where(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the longest original stays, then the smallest id, null last; of rows alike in all of these one. A null text is empty."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies, at 0.8 of their five-word shingles, the smallest id stays. Texts without words are copies of one another; rows without an id all stay."""
     return simhash_dedup.drop_near_duplicates(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as they are taken."""
+    """Documents as often as they are taken; texts without words never. Of rows that repeat, one is taken as often as all of them are."""
     return mixing.take_copies(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
+    """The pieces of all documents with their places in sequences. A null or empty text is one piece, the end id; repeated rows are packed each."""
     return packing.pack_documents(docs, packing.default_tokenizer()).withColumnRenamed("id", "doc_id")
 
 
@@ -50,7 +55,7 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: SQL can't express the stages; tests hold them against brute force.
+#: SQL can't express the stages; tests hold their operators against brute force.
 ORACLE_SQL = None
 
 
