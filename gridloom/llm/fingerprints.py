@@ -11,12 +11,13 @@ all documents are taken by segmented reductions.
 
 Cases: a null or empty text, or one of white space, has no words: its fingerprint is a constant and it is like any other such text;
 with fewer words than ``K`` all of them are the one k-mer; repeated rows and equal texts get equal fingerprints; an empty table gives no rows;
-other columns are ignored. ``with_successors`` puts a null id first and orders rows that share an id by their texts.
+other columns are ignored. ``with_successors`` puts a null id first and orders rows that share an id by their texts' hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,24 +159,42 @@ def with_successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Ids are cut into as many ranges as there are shuffle partitions, at approximate quantiles; a partition holds
     one range and, last and marked ``tail``, the first row of the next (of the first range after the last one). Texts move once.
+    Rows that share an id follow each other by their texts' hashes, and an id on which several cuts fall is cut again
+    at quantiles of these, so one id's rows are many tasks'. Only rows equal in id and text are never parted.
     """
     spark = docs.sparkSession
     used = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    used = used.select("id", "text", F.xxhash64("text").alias("mark"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = [k / ranges for k in range(1, ranges)]
     found = used.agg(F.min("id").alias("least"), F.percentile_approx("id", cuts or [0.5], 20 * ranges).alias("cuts")).first()
-    starts = np.array(sorted({found["least"], *(found["cuts"] or [] if cuts else [])} - {None}) or [0], np.int64)
+    times = Counter((found["cuts"] or []) if cuts else [])
+    hot = [x for x, n in times.items() if n > 1]
+    # An id is either whole in its range, whose head is then any of its rows, or begins ranges at some of its marks.
+    begins = {(x, None) for x in {found["least"], *times} - {None, *hot}}
+    if hot:
+        marks = F.percentile_approx("mark", cuts, 20 * ranges).alias("cuts")
+        for row in used.where(F.col("id").isin(hot)).groupBy("id").agg(F.min("mark").alias("least"), marks).collect():  # a row a hot id, fewer than ranges
+            parts = times[row["id"]] + 1
+            begins |= {(row["id"], m) for m in (row["least"], *(row["cuts"][k * ranges // parts - 1] for k in range(1, parts)))}
+    ordered = sorted(begins or {(0, None)}, key=lambda x: (x[0], x[1] or 0))
+    starts, whole = np.array([x for x, _ in ordered], np.int64), np.array([m is None for _, m in ordered])
+    least = np.array([m or 0 for _, m in ordered], np.int64)
     last = len(starts) - 1
 
     @F.pandas_udf("array<int>")
-    def places(ids: pd.Series) -> pd.Series:
-        own = np.searchsorted(starts, ids.to_numpy(), "right") - 1
-        heads = starts[own] == ids.to_numpy()
+    def places(ids: pd.Series, marks: pd.Series) -> pd.Series:
+        i, m = ids.to_numpy(), marks.to_numpy()
+        own = np.searchsorted(starts, i, "right") - 1
+        for x in hot:
+            rows, first, end = np.flatnonzero(i == x), np.searchsorted(starts, x), np.searchsorted(starts, x, "right")
+            own[rows] = first + np.searchsorted(least[first:end], m[rows], "right") - 1
+        heads = (starts[own] == i) & (whole[own] | (least[own] == m))
         return pd.Series([[r, r - 1 if r else last] if h else [r] for r, h in zip(own.tolist(), heads.tolist(), strict=True)])
 
-    dealt = used.select("id", "text", F.posexplode(places("id")).alias("copy", "range"))
-    dealt = dealt.select("id", "text", (F.col("copy") > 0).alias("tail"), "range").repartitionById(last + 1, F.col("range"))
-    return dealt.sortWithinPartitions("tail", "id", "text").select("id", "text", "tail")
+    dealt = used.select("id", "text", "mark", F.posexplode(places("id", "mark")).alias("copy", "range"))
+    dealt = dealt.select("id", "text", "mark", (F.col("copy") > 0).alias("tail"), "range").repartitionById(last + 1, F.col("range"))
+    return dealt.sortWithinPartitions("tail", "id", "mark", "text").select("id", "text", "tail")
 
 
 def edited(text: str, following: str) -> str:
