@@ -40,6 +40,7 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(2**64 - 1)
 _NULL_ID = -(1 << 63)
+_EXACT = 1 << 53
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -164,11 +165,16 @@ def with_successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     used = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    used = used.select("id", "text", F.xxhash64("text").alias("mark"))
+    used = used.select("id", "text", F.shiftright(F.xxhash64("text"), 11).alias("mark"))  # quantiles are exact for numbers of 53 bits
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = [k / ranges for k in range(1, ranges)]
     found = used.agg(F.min("id").alias("least"), F.percentile_approx("id", cuts or [0.5], 20 * ranges).alias("cuts")).first()
-    times = Counter((found["cuts"] or []) if cuts else [])
+    drawn = (found["cuts"] or []) if cuts else []
+    if wide := sorted({x for x in drawn if abs(x) > _EXACT}):  # rounded to a double: the next id that there is takes its place
+        there = used.agg(*[F.min(F.when(F.col("id") >= x, F.col("id"))) for x in wide]).first()
+        real = dict(zip(wide, there, strict=True))
+        drawn = [y for x in drawn if (y := real.get(x, x)) is not None]
+    times = Counter(drawn)
     hot = [x for x, n in times.items() if n > 1]
     # An id is either whole in its range, whose head is then any of its rows, or begins ranges at some of its marks.
     begins = {(x, None) for x in {found["least"], *times} - {None, *hot}}
