@@ -34,6 +34,8 @@ BUCKETS = 1 << 15
 RANK = 8
 #: Labelled rows that the model is fitted from, at most, and bytes of their texts.
 MAX_TRAIN, MAX_TRAIN_BYTES = 4096, 64 << 20
+#: Bytes of text that are scored at a time; a longer text is scored by itself.
+SLICE_BYTES = 1 << 20
 EPOCHS = 10
 BATCH = 128
 RATE = 0.08
@@ -219,7 +221,7 @@ def with_score(docs: DataFrame, model: FactorisationMachine, text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, SLICE_BYTES):
                 score = shared.value.score(part.column(1), _metadata(part, [f"m{k}" for k in range(len(metadata))]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], names=["row", "score"])
 
