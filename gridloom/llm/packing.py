@@ -72,7 +72,7 @@ def cut(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
                     names=["id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.mapInArrow(tidy(run), _PIECES)
+    return docs.mapInArrow(tidy(run, keep_words=True), _PIECES)
 
 
 def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +144,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     blocks = max(1, -(-left.count() // block))
     while True:
         dealt = left.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(blocks))).repartition(blocks, "block")
-        placed = materialise(dealt.sortWithinPartitions("block", F.desc("length"), "uid").mapInArrow(tidy(_pack(round_, length)), _PACKED), "packed")
+        placed = materialise(dealt.sortWithinPartitions("block", F.desc("length"), "uid").mapInArrow(tidy(_pack(round_, length), keep_words=True), _PACKED), "packed")
         left = placed.where("open").select(*pieces.columns)
         fewer = max(1, -(-left.count() // block)) if blocks > 1 else blocks
         if fewer == blocks:

@@ -25,21 +25,38 @@ def text_bytes(column: pa.Array) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run``, after which the worker gives freed memory back: workers are used again, and theirs counts with their executor's."""
+def tidy(run: Callable[[Iterator], Iterator], keep_words: bool = False) -> Callable[[Iterator], Iterator]:
+    """``run``, after which the worker gives freed memory back: workers are used again, and theirs counts with their executor's.
+
+    Words that a tokenizer keeps from task to task are forgotten first, unless ``keep_words``.
+    """
 
     def wrapped(batches: Iterator) -> Iterator:
+        if not keep_words:
+            _forget_words()
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
-                ctypes.CDLL(None).malloc_trim(0)
+            _give_back()
 
     return wrapped
 
 
+def _forget_words() -> None:
+    from .tokens import word_tokenizer  # which imports this module
+
+    if word_tokenizer.cache_info().currsize:
+        word_tokenizer.cache_clear()
+        _give_back()
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fold(key: int | None, parts: int) -> int:
     """crc32 of the id written as text, modulo ``parts``; a null id counts as the empty text."""
     return crc32(b"" if key is None else str(key).encode()) % parts
