@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import scalars
 from gridloom.operators import dedup, grid, metrics, sampling, sweep
 from gridloom.sources import images
+from gridloom.sources.store import materialise
 from gridloom.streaming import frames
 
 
@@ -98,6 +99,29 @@ def test_few_pairs_meet_by_bands(most, rows):
     assert (agreed >= size).mean() < 0.01
 
 
+@pytest.mark.parametrize("most", [3, 8, 12])
+def test_pairs_of_popular_values_equal_all_with_all(spark, monkeypatch, most):
+    rng = np.random.default_rng(most)
+    base = [0, -1, -(2**63), *rng.integers(-(2**63), 2**63, 4).tolist()]
+    h = [b ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, 9), False)) for b in base for _ in range(60)]
+    table = spark.createDataFrame([(k, x) for k, x in enumerate(h)] + [(-5, h[0]), (None, h[1]), (900, None), (7, h[9])], "id long, h long").repartition(5)
+    pairs = lambda f: sorted((r["a"], r["b"], r["d"]) for r in f(table, "id", "h", most).collect())
+    want = pairs(dedup.theta_pairs)
+    assert pairs(dedup.hamming_pairs) == want
+    # Values of more hashes than a block, and several buckets.
+    for name, n in (("BLOCK", 16), ("BUCKET", 64), ("SHORT", 4), ("CELLS", 100)):
+        monkeypatch.setattr(dedup, name, n)
+    written = []
+    monkeypatch.setattr(dedup, "materialise", lambda df, name: written.append(name) or materialise(df, name))
+    assert pairs(dedup.hamming_pairs) == want and "hashes-met-blocks" in written
+
+
+def test_pair_search_is_never_a_broadcast(spark):
+    table = spark.range(300).select("id", F.xxhash64("id").alias("h"))
+    plan = dedup.hamming_pairs(table, "id", "h", 12)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_native_maps_are_checked(spark):
     found = spark.createDataFrame([(1, [1.0] * 4, [2.0]), (2, [1.0] * 4, [2.0, 3.0])], "image_id int, a array<double>, b array<double>")
     assert images.native_maps(found.where("image_id = 1"), {"a": 2, "b": 1}).first()["a"] == [1.0] * 4
