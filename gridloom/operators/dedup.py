@@ -242,12 +242,17 @@ def components(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFr
 def near_duplicate_groups(hashes: DataFrame, id_col: str, hash_col: str, most: int) -> DataFrame:
     """``(id, group_id)``: groups of hashes linked within ``most`` bits, numbered from 0 by their smallest id.
 
-    A row without a hash (an unreadable image) is a group of its own.
+    A row without a hash (an unreadable image) is a group of its own. Rows of equal hashes are one node, their smallest id, so that copies make no pairs.
     """
-    good = hashes.where(F.col(hash_col).isNotNull())
-    found = components(hashes.select(F.col(id_col).alias("id")), hamming_pairs(good, id_col, hash_col, most))
-    heads = running(found.where("id = root").select("root", (-F.col("root")).alias("__o")), "__o", ["root"], {}).select("root", (F.col("k").cast("long") - 1).alias("group_id"))
-    return found.join(heads, "root").select("id", "group_id")
+    rows = materialise(hashes.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")), "group-hashes")
+    heads = materialise(rows.where("id is not null and h is not null").groupBy("h").agg(F.min("id").alias("head")), "group-heads")
+    of = lambda i, h: heads.select(F.col("head").alias(i), F.col("h").alias(h)).hint("merge")
+    links = near_hashes(heads.select("h"), most).join(of("a", "x"), "x").join(of("b", "y"), "y").select("a", "b")
+    reached = components(heads.select(F.col("head").alias("id")).distinct(), links).select(F.col("id").alias("head"), "root")
+    of_hash = heads.join(reached.hint("merge"), "head").select("h", "root")
+    found = materialise(rows.join(of_hash.hint("merge"), "h", "left").select("id", F.coalesce("root", "id").alias("root")), "group-roots")
+    first = running(found.where("id = root").select("root", (-F.col("root")).alias("__o")), "__o", ["root"], {}).select("root", (F.col("k").cast("long") - 1).alias("group_id"))
+    return found.join(first.hint("merge"), "root").select("id", "group_id")
 
 
 def exact_groups(df: DataFrame, id_col: str, key: Column) -> DataFrame:

@@ -116,6 +116,14 @@ def test_pairs_of_popular_values_equal_all_with_all(spark, monkeypatch, most):
     assert pairs(dedup.hamming_pairs) == want and "hashes-met-blocks" in written
 
 
+def test_copies_make_no_links_of_groups(spark, monkeypatch):
+    table = spark.createDataFrame([(k, (0, 1, 3, -1)[k % 4]) for k in range(160)] + [(500, None), (501, None)], "id long, h long")
+    seen, components = [], dedup.components
+    monkeypatch.setattr(dedup, "components", lambda nodes, edges, *a: seen.append(edges.count()) or components(nodes, edges, *a))
+    groups = {r["id"]: r["group_id"] for r in dedup.near_duplicate_groups(table, "id", "h", 8).collect()}
+    assert seen == [3] and groups == {k: int(k % 4 == 3) for k in range(160)} | {500: 2, 501: 3}
+
+
 def test_pair_search_is_never_a_broadcast(spark):
     table = spark.range(300).select("id", F.xxhash64("id").alias("h"))
     plan = dedup.hamming_pairs(table, "id", "h", 12)._jdf.queryExecution().executedPlan().toString()
