@@ -1,4 +1,5 @@
 import importlib.util
+import itertools
 import time
 from collections import Counter
 
@@ -116,6 +117,18 @@ def test_pairs_of_popular_values_equal_all_with_all(spark, monkeypatch, most):
     assert pairs(dedup.hamming_pairs) == want and "hashes-met-blocks" in written
 
 
+def test_hashes_are_dealt_in_rows_of_many(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(dedup, "materialise", lambda df, name: written.setdefault(name, materialise(df, name)))
+    table = spark.range(20_000).select("id", F.xxhash64("id").alias("h"))
+    found = dedup.hamming_pairs(table.unionByName(table.selectExpr("id + 100000 as id", "h ^ 255 as h")), "id", "h", 8)
+    assert found.where("b = a + 100000 and d = 8").count() == 20_000
+    parts, size = dedup.band_plan(8, 40_000, moving=dedup.MOVING)
+    keys = [k for k, _ in enumerate(itertools.combinations(range(len(parts)), size))]
+    dealt = written["hashes-distinct"].coalesce(1).mapInArrow(dedup._dealer([0] * len(keys), 0), "key int, bucket int, hashes binary").selectExpr("key", "length(hashes) div 8 as n").collect()
+    assert len(dealt) <= 3 * len(keys) and sum(r["n"] for r in dealt) == 40_000 * len(keys)
+
+
 def test_copies_make_no_links_of_groups(spark, monkeypatch):
     table = spark.createDataFrame([(k, (0, 1, 3, -1)[k % 4]) for k in range(160)] + [(500, None), (501, None)], "id long, h long")
     seen, components = [], dedup.components
