@@ -28,9 +28,9 @@ _MET_SQL = "x long, y long, d int, key int, value long, block int, blocks int, h
 
 
 def sign_hash(v: str | Column) -> Column:
-    """A 64-bit hash of an array of 64 numbers: bit i is set where element i is above zero."""
+    """A 64-bit hash of the first 64 numbers of an array: bit i is set where element i is above zero."""
     v = F.col(v) if isinstance(v, str) else v
-    bits = F.transform(v, lambda x, i: F.when(x > 0, F.element_at(F.array(*[F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(BITS)]), i + 1)).otherwise(F.lit(0).cast("long")))
+    bits = F.transform(F.slice(v, 1, BITS), lambda x, i: F.when(x > 0, F.element_at(F.array(*[F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(BITS)]), i + 1)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
